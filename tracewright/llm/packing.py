@@ -2,8 +2,9 @@
 
 The pieces are tokenised once and written to the shared folder. Everything that decides the packing
 is a histogram of piece lengths (at most `limit` rows, whatever the corpus size): the driver turns it
-into patterns (lengths that fill one sequence) with multiplicities. Every pattern uses up at least one
-length, so there are at most `limit` patterns and the table of slot ranges stays bounded and broadcast.
+into patterns (lengths that fill one sequence) with multiplicities. Every pattern leaves some length with
+fewer pieces than it needs, so there are a few patterns per length at most, whatever the corpus size, and
+the table of slot ranges stays bounded and is broadcast.
 Pieces are numbered within their length in parallel (length x salt buckets with prefix sums), and a
 piece's number falls into exactly one slot range, which gives its sequence and offset.
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -133,34 +133,59 @@ class ComplementIndex:
         return None
 
 
-def pack_histogram(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, longest first) with multiplicities that use every piece once.
+def best_fit(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over a histogram: equal bins are kept as one group with a multiplicity.
 
-    Longest first, a length takes exact complements while there are any; what is left is filled
-    best-fit: the longest piece, then again and again the longest that still fits.
+    A bin whose room holds several pieces of the length at hand takes them all, as one by one best fit would.
     """
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {limit: []}  # by room left
+    for length in sorted((x for x, n in counts.items() if n), reverse=True):
+        left = counts[length]
+        for room in sorted(r for r in groups if length <= r < limit):
+            each = room // length
+            while left and groups[room]:
+                pattern, times = groups[room].pop()
+                full, rest = min(times, left // each), 0
+                if full < times:
+                    rest = left - full * each  # fewer than a bin's worth goes to one more bin
+                    if kept := times - full - bool(rest):
+                        groups[room].append((pattern, kept))
+                for n, k in ((each, full), (rest, int(rest > 0))):
+                    if k:
+                        groups.setdefault(room - n * length, []).append((pattern + (length,) * n, k))
+                left -= full * each + rest
+                if full < times:
+                    break
+            if not left:
+                break
+        each = limit // length
+        for n, k in ((each, left // each), (left % each, int(left % each > 0))):
+            if k:
+                groups.setdefault(limit - n * length, []).append(((length,) * n, k))
+    return [g for found in groups.values() for g in found]
+
+
+def pack_with(counts: dict[int, int], limit: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements for pieces of `least` tokens or more, longest first; the rest best-fit."""
     index, found = ComplementIndex(counts, limit), []
     if index.left[limit]:
         found.append(((limit,), index.take((limit,))))
-    for length in range(limit - 1, 0, -1):
+    for length in range(limit - 1, least - 1, -1):
         while index.left[length]:
             if not (rest := index.complement(length, limit - length)):
                 break
             found.append(((length, *rest), index.take((length, *rest))))
-    while (live := np.flatnonzero(index.left)).size:
-        lengths, pattern, room, spare = live.tolist(), [], limit, index.left.copy()
-        while (k := bisect_right(lengths, room)) and room:
-            length = lengths[k - 1]
-            n = min(int(spare[length]), room // length)
-            if not n:
-                lengths.pop(k - 1)
-                continue
-            pattern += [length] * n
-            spare[length] -= n
-            room -= n * length
-            lengths = lengths[: k - 1]
-        found.append((tuple(pattern), index.take(tuple(pattern))))
-    return found
+    return found + best_fit({int(x): int(index.left[x]) for x in np.flatnonzero(index.left)}, limit)
+
+
+def pack_histogram(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths of one sequence) with multiplicities that use every piece once.
+
+    Complements spend small pieces that best fit may need later, so a few thresholds for the shortest
+    piece that asks for complements are tried on the histogram; the fewest sequences win.
+    """
+    tried = (pack_with(counts, limit, max(1, limit * k // 16)) for k in (0, 2, 4, 6, 8, 10, 12, 14))
+    return min(tried, key=lambda found: sum(times for _, times in found))
 
 
 def slot_ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
