@@ -33,6 +33,7 @@ from .textstats import mix, window_hashes
 SIZE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 32, 5, 32
 BLOCK = 128
+FILTER = 1 << 20
 
 _rng = np.random.default_rng(71993)
 _TURN = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -221,6 +222,10 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     members, _ = materialize(members, "members")
     tasks = _tasks(members, block, threshold)
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
+    # only documents in a bucket of some candidate id are shuffled; at most FILTER rows are broadcast
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    wanted = members.select(bucket("id").alias("_bucket")).distinct()
+    texts = texts.join(F.broadcast(wanted), bucket("_doc") == F.col("_bucket"), "left_semi")
     verified, _ = materialize(_verify(tasks.join(texts, F.col("id") == F.col("_doc")).dropDuplicates(["id"]), size, threshold, tolerance), "links")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     unions = connected_components(verified.where("id <> root"), "id", "root").select(F.col("id").alias("_id"), "component")
