@@ -128,9 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, features: int =
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = max(totals.get(0, 0), 1), max(totals.get(1, 0), 1)
     counts = sample.mapInArrow(count, "f string, y int, n long").groupBy("f").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("p"), F.sum(F.expr("if(y = 0, n, 0)")).alias("q"))
-    share = lambda n, total: (F.col(n) + 0.5) / F.lit(total + 1.0)
-    worth = F.abs(F.log(share("p", bad) / share("q", good))) * F.sqrt(F.col("p") / bad + F.col("q") / good)
-    top = counts.where((F.col("p") + F.col("q") >= 3) & (F.abs(share("p", bad) - share("q", good)) > 0.001)).orderBy(worth.desc(), "f").limit(features)
+    # features that speak for the class, by how sure their log odds are; rare ones must be pure
+    odds = F.log((F.col("p") + 0.5) * F.lit(good + 1.0) / ((F.col("q") + 0.5) * F.lit(bad + 1.0)))
+    sure = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    top = counts.where((F.col("p") >= 3) & (sure >= 2.0) & (odds >= 1.5)).orderBy(sure.desc(), "f").limit(features)
     names = [r["f"] for r in top.select("f").collect()]  # at most `features`
     place = {name: k for k, name in enumerate(names)}
 
