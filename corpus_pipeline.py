@@ -1,7 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, repeated lines, near duplicates, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all the stage before it kept; all but the last return the
+columns of documents, with the decisions carried out. `run` applies them to the documents table; between two
+stages the rows are written to the shared folder and read again.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import jaccard_join, line_dedup, packing, quality_classifier, secrets
+from tracewright.llm.common import materialize
+from tracewright.llm.queries import table, tokenizer_file
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose id is not among the rejected; rows with a null id stay."""
+    rejected = verdicts.where("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return _chosen(docs, quality_classifier.classify(docs, table(spark, sf_dir, "labels")))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later places of three-line windows are cut out of the texts."""
+    return _recounted(line_dedup.line_dedup(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies stays."""
+    return _chosen(docs, jaccard_join.jaccard_join(docs))
+
+
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts give way to marks."""
+    return _recounted(secrets.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    return packing.best_fit_pack(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secret_spans),
+    ("best_fit_packing", pack),
+]
+
+#: SQL can't express the classifier, MinHash pruning, the scanner or the tokenizer; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
