@@ -22,7 +22,7 @@ from .components import connected_components
 from .hnsw import Hnsw, neighbours_above
 
 THRESHOLD, RECALL = 0.93, 0.98
-SHARDS, SHARD_ROWS, CHUNK = 4, 50_000, 512
+SHARDS, SHARD_ROWS, CHUNK = 4, 50_000, 2_048
 BEAM, AUDIT = 32, 24
 
 
