@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
@@ -43,6 +43,17 @@ class Timebase:
         return self.grid(samples, keys).count()
 
 
+def general_format(value: Column, digits: int = 6) -> Column:
+    """C's %.6g: so many significant digits, without trailing zeros; an exponent below 1e-4 and from 1e6 on."""
+    text = F.format_string(f"%.{digits - 1}e", value)
+    power = F.regexp_extract(text, "e([+-]\\d+)$", 1).cast("int")
+    bare = lambda t: F.when(t.contains("."), F.regexp_replace(F.regexp_replace(t, "0+$", ""), "\\.$", "")).otherwise(t)
+    out = F.concat(bare(F.regexp_extract(text, "^([^e]*)e", 1)), F.regexp_extract(text, "(e[+-]\\d+)$", 1))
+    for k in range(-4, digits):
+        out = F.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", value))).otherwise(out)
+    return F.when(value == 0, F.lit("0")).otherwise(out)
+
+
 def _headings(keys: Sequence[str]) -> list[str]:
     """The signal's name, or the whole key where two signals share a name."""
     names = [k.rpartition("::")[2] for k in keys]
@@ -76,7 +87,7 @@ def table_view(samples: DataFrame, keys: Sequence[str], most: int = TABLE_ROWS)
         dense = chosen.groupBy("signal_key").count().orderBy(F.desc("count"), "signal_key").first()["signal_key"]
         grid = align.reference_grid(chosen, dense)
     label = F.when(F.coalesce("label", F.lit("")) != "", F.col("label")) if "label" in samples.columns else F.lit(None)
-    shown = F.coalesce(label, F.when(~F.isnan("value"), F.format_string("%.6g", "value")))
+    shown = F.coalesce(label, F.when(~F.isnan("value"), general_format(F.col("value"))))
     table = align.on_grid(chosen, keys, grid, shown).orderBy("t_s").limit(most)
     return table.select(F.format_string("%.6f", "t_s").alias("Time"), *[F.coalesce(F.col(f"`{k}`"), F.lit("")).alias(k) for k in keys])
 
