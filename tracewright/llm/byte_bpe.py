@@ -3,7 +3,7 @@
 The rank map is a literal of the plan: an array of small buckets by CRC-32, so a lookup is one array access
 and a scan of about one entry. The fold runs over byte arrays of distinct words: first over the frequent
 words of the whole corpus (counted everywhere, at most HEAD of them), whose ids then travel to the workers
-as a broadcast of bounded size; every other word of a document is folded in place. Texts are split into
+as a broadcast of bounded size; the other words of each Arrow batch, each once, are folded in place. Texts are split into
 words and put together again in Arrow batches; nothing of a document is shuffled but word counts.
 
 Defined results: null and empty texts have no ids; decoding gives back the text's UTF-8 bytes; repeated
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, need
 
-HEAD, HEAD_BYTES = 1_048_576, 40
+HEAD, HEAD_BYTES = 524_288, 40
 BUCKETS = 65_536
 NONE = 2_147_483_647  # no such pair
-MISSING = 0xFFFFFFFF
+CODE = 1 << 31  # ids from here on stand for words that are still to be folded
 
 #: Texts of these code points only are split by the standard library with the classes written out; others by `regex`.
 _PLAIN = re.compile("[\\x00-\\x7f\\xa1-\\xa9\\xab-\\xac\\xae-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027]*")
@@ -51,7 +52,7 @@ def splitter(pattern: str):
     plain = re.compile(plain.replace("\\S", f"[^{_SPACE}]").replace("\\s", f"[{_SPACE}]"))
 
     def split(text: str) -> list[str]:
-        return (plain if _PLAIN.fullmatch(text) and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text else whole).findall(text)
+        return (plain if (text.isascii() or _PLAIN.fullmatch(text)) and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text else whole).findall(text)
 
     return split
 
@@ -127,61 +128,128 @@ def frequent_words(counts: DataFrame, most: int = HEAD, longest: int = HEAD_BYTE
     return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every text."""
+class _Words(dict):
+    """Words to ids; a word that isn't there gets a code for the time of a batch."""
+
+    def start(self) -> None:
+        for word in getattr(self, "absent", ()):
+            del self[word]
+        self.absent: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        code = self[word] = (CODE + len(self.absent)).to_bytes(4, "little")
+        self.absent.append(word)
+        return code
+
+
+#: The dictionary of the last broadcast used, kept while a worker serves other functions in between.
+_KEPT: dict[str, _Words] = {}
+
+
+def _dictionary(sent, key: str) -> _Words:
+    """Words of a broadcast (joined words, their lengths, flat ids and their ends), unpacked once per worker."""
+    if key not in _KEPT:
+        text, sizes, ids, ends = sent.value
+        flat, words, at, first = ids.tobytes(), _Words(), 0, 0
+        for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+            words[text[at : at + size].decode()] = flat[4 * first : 4 * end]
+            at, first = at + size, end
+        _KEPT.clear()
+        _KEPT[key] = words
+    return _KEPT[key]
+
+
+def _pack(known: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    words, ids = known.column("word").combine_chunks(), known.column("ids").combine_chunks()
+    if not known.num_rows:
+        return b"", np.empty(0, np.int64), np.empty(0, "<u4"), np.empty(0, np.int64)
+    sizes = np.array([len(w.as_buffer()) for w in words], dtype=np.int64)
+    return b"".join(w.as_py() for w in words), sizes, np.asarray(ids.flatten(), dtype="<u4"), np.cumsum(np.asarray(ids.value_lengths()))
+
+
+def _filled(codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """codes with every word code replaced by the word's ids."""
+    at = np.flatnonzero(codes >= CODE)
+    if not len(at):
+        return codes
+    word = codes[at].astype(np.int64) - CODE
+    width = np.ones(len(codes), dtype=np.int64)
+    width[at] = sizes[word]
+    place = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), dtype="<u4")
+    plain = codes < CODE
+    out[place[plain]] = codes[plain]
+    n = sizes[word]
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(place[at], n) + inner] = flat[np.repeat(starts[word], n) + inner]
+    return out
+
+
+class Ids:
+    """What encode() returns by default: ids as binary, little-endian unsigned 32-bit."""
+
+    fields = (("ids", "binary", pa.binary()),)
+
+    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([x.tobytes() for x in ids], pa.binary())]
+
+
+class Digests:
+    """The contract's columns: count and digest of the ids, digest of the bytes they decode to."""
+
+    fields = (("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()))
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.pieces = self.names = None
+
+    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+        if self.pieces is None:
+            self.pieces = pieces_of(self.ranks)
+            self.names = [str(k) for k in range(len(self.pieces))]
+        lists = [x.tolist() for x in ids]
+        sha = [hashlib.sha256(",".join(map(self.names.__getitem__, x)).encode()).hexdigest() for x in lists]
+        back = [hashlib.sha256(b"".join(map(self.pieces.__getitem__, x))).hexdigest() for x in lists]
+        return [pa.array([len(x) for x in lists], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None) -> DataFrame:
+    """doc_id and the columns of `result` (Ids() if None, or Digests(ranks)) of every text."""
+    result = result or Ids()
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = rank_literal(ranks)
     counts, _ = materialize(word_counts(texts, pattern), "words")
     known, _ = materialize(frequent_words(counts, head).select("word", encode_word(F.col("word"), table).alias("ids")), "head")
-    got = known.toArrow()  # at most `head` rows of HEAD_BYTES and as many ids
-    flat = np.asarray(got.column("ids").combine_chunks().flatten(), dtype="<u4") if got.num_rows else np.empty(0, "<u4")
-    ends = np.cumsum(np.asarray(got.column("ids").combine_chunks().value_lengths())) if got.num_rows else []
-    words = {w.as_py().decode(): flat[s:e].tobytes() for w, s, e in zip(got.column("word"), [0, *ends[:-1]], ends, strict=True)} if got.num_rows else {}
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    del words, got
-    gap = np.array([MISSING], dtype="<u4").tobytes()
+    sent = docs.sparkSession.sparkContext.broadcast(_pack(known.toArrow()))  # at most `head` words of HEAD_BYTES and as many ids
+
+    key = uuid.uuid4().hex
 
     def look_up(batches):
-        split, find = splitter(pattern), sent.value.get
+        split, words = splitter(pattern), _dictionary(sent, key)
         for batch in batches:
-            ids, missing = [], []
-            for text in batch.column(1):
-                found = split(text.as_py() or "")
-                parts = list(map(find, found))
-                absent = []
-                if None in parts:
-                    absent = [w.encode() for w, p in zip(found, parts, strict=True) if p is None]
-                    parts = [gap if p is None else p for p in parts]
-                ids.append(b"".join(parts))
-                missing.append(absent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(missing, pa.list_(pa.binary()))], names=["doc_id", "ids", "missing"])
+            words.start()
+            ids = [b"".join(map(words.__getitem__, split(x.as_py() or ""))) for x in batch.column(1)]
+            absent = [[w.encode() for w in words.absent]] + [None] * (len(ids) - 1)
+            words.start()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(absent[: len(ids)], pa.list_(pa.binary()))], names=["doc_id", "ids", "absent"])
+
+    names = ["doc_id", *[f[0] for f in result.fields]]
 
     def fill(batches):
+        sizes = starts = flat = np.empty(0, dtype=np.int64)
         for batch in batches:
             out = []
             for ids, folded in zip(batch.column(1), batch.column(2), strict=True):
-                data = ids.as_py()
-                if len(folded):
-                    values = np.frombuffer(data, dtype="<u4")
+                if folded.is_valid:  # the first row of a look_up batch brings the words of all its rows
                     inner = folded.values
-                    lengths = np.asarray(inner.value_lengths(), dtype=np.int64)
-                    more = np.asarray(inner.flatten(), dtype="<u4")
-                    at = np.flatnonzero(values == MISSING)
-                    size = np.ones(len(values), dtype=np.int64)
-                    size[at] = lengths
-                    start = np.cumsum(size) - size
-                    full = np.empty(int(size.sum()), dtype="<u4")
-                    plain = np.ones(len(values), dtype=bool)
-                    plain[at] = False
-                    full[start[plain]] = values[plain]
-                    full[np.repeat(start[at], lengths) + np.arange(len(more)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = more
-                    data = full.tobytes()
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    split_up = texts.mapInArrow(look_up, "doc_id long, ids binary, missing array<binary>")
-    folded = split_up.select("doc_id", "ids", F.transform("missing", lambda w: encode_word(w, table)).alias("folded"))
-    return folded.mapInArrow(fill, "doc_id long, ids binary")
+                    sizes = np.asarray(inner.value_lengths(), dtype=np.int64)
+                    starts, flat = np.cumsum(sizes) - sizes, np.asarray(inner.flatten(), dtype="<u4")
+                out.append(_filled(np.frombuffer(ids.as_buffer(), dtype="<u4"), sizes, starts, flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *result.columns(out)], names=names)
+
+    split_up = texts.mapInArrow(look_up, "doc_id long, ids binary, absent array<binary>")
+    folded = split_up.select("doc_id", "ids", F.transform("absent", lambda w: encode_word(w, table)).alias("folded"))
+    return folded.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -201,16 +269,3 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
-
-
-def digests(decoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of the contract."""
-
-    def run(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x.as_py(), dtype="<u4") for x in batch.column(1)]
-            sha = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-            back = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
