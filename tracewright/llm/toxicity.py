@@ -79,7 +79,7 @@ class Model:
         return float(sigmoid(total + sum(map(self.weights.__getitem__, seen))))
 
 
-def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], size: int, ridge: float = 1e-3, counterfactual: float = 5.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], size: int, ridge: float = 1e-3, counterfactual: float = 5.0, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on mean logistic loss + ridge + counterfactual x mean squared score change of twins."""
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     w, bias = np.zeros(size), float(np.log(rate / (1 - rate)))
@@ -89,23 +89,24 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int
     r, c = flat(rows)
     tr, tc = flat([list(set(a) - set(b)) for a, b in twins])
     ur, uc = flat([list(set(b) - set(a)) for a, b in twins])
-    # each class weighs half, so that a rare class is learnt; the bias is set back to the base rate afterwards
+    # each class weighs half, so that a rare class is learnt
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    lift = np.sqrt(np.bincount(c, weight[r], size) + 1e-4)  # diagonal scaling
+    pulled = 2 * counterfactual / max(len(twins), 1)
+    # diagonal scaling; in scaled weights the curvature is at most that of the longest row and the longest difference
+    lift = np.sqrt(np.bincount(c, weight[r], size) + pulled * (np.bincount(tc, minlength=size) + np.bincount(uc, minlength=size)) + 1e-4)
+    longest = lambda who, n: int(np.bincount(who, minlength=max(n, 1)).max())
+    rate = 1.0 / (0.25 * (1 + longest(r, len(y))) + (longest(tr, len(twins)) + longest(ur, len(twins)) if twins else 0) + ridge)
     v, b, mw, mb = np.zeros(size), 0.0, np.zeros(size), 0.0
-    step = 1.0
-    for k in range(rounds):
+    for _ in range(rounds):
         look, look_b = v + 0.9 * mw, b + 0.9 * mb
         p = sigmoid(np.bincount(r, look[c] / lift[c], len(y)) + look_b)
         g = (p - y) * weight
         grad = np.bincount(c, g[r], size) / lift + ridge * look
-        if len(twins):
+        if twins:
             change = np.bincount(tr, look[tc] / lift[tc], len(twins)) - np.bincount(ur, look[uc] / lift[uc], len(twins))
-            pull = 2 * counterfactual * change / len(twins)
+            pull = pulled * change
             grad += (np.bincount(tc, pull[tr], size) - np.bincount(uc, pull[ur], size)) / lift
-        bound = 0.25 * (1 + np.diff(np.searchsorted(r, np.arange(len(y) + 1))).max(initial=1)) if k == 0 else bound
-        rate_k = step / max(1.0, np.sqrt(bound))
-        mw, mb = 0.9 * mw - rate_k * grad, 0.9 * mb - rate_k * g.sum()
+        mw, mb = 0.9 * mw - rate * grad, 0.9 * mb - rate * g.sum()
         v, b = v + mw, b + mb
     return v / lift, b
 
