@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import align, decode, search, statistics, trace, view
 from tracewright.operators.keys import FRAMES, channel_label, decode_channel_key, flags, signal_key
 from tracewright.plans import exports
+from tracewright.sources import asc, csv_files
 from tracewright.sources.databases import Database, DatabaseError, Message, Signal, channel_config, compatibility_warning, load_database, parse_dbc, parse_ldf, pgn_of, tables
 
 DBC = '''VERSION ""
@@ -244,7 +246,24 @@ def test_exports(spark, samples, tmp_path):
     exports.write_safely(s, str(tmp_path / "safe"))
     assert spark.read.parquet(str(tmp_path / "safe")).count() == s.count()
     assert exports.convert_samples([s], ["CH1::M::A"], 0, 1, 0.25).count() == 5
-    assert exports.general_format is not None
+    assert exports.export_excel(table, str(tmp_path / "t.xlsx")) == 3
+    body = zipfile.ZipFile(str(tmp_path / "t.xlsx")).read("xl/worksheets/sheet1.xml").decode()
+    assert body.count("<row>") == 4 and "<t xml:space=\"preserve\">on</t>" in body
+
+
+def test_frames_round_trip(spark, tmp_path):
+    rows = [(0x100, b"\x01\x02"), (0x18FF50E5, bytes(range(12)), {"is_fd": True, "is_brs": True, "direction": "Tx", "dlc": 12}), (0x200, b"", {"is_remote": True, "dlc": 4}), (0, b"", {"is_error": True, "direction": "Unknown"}), (0x21, b"\x0a\x0b", {"bus": "LIN"})]
+    f = frames(spark, rows)
+    exports.convert_frames([f, f], str(tmp_path / "o.asc"))
+    back = asc.read_frames(spark, str(tmp_path / "o.asc")).drop("frame_idx").collect()
+    assert len(back) == 10
+    key = lambda r: (r["arb_id"], r["bus"], r["is_extended"], r["is_fd"], r["is_error"], r["is_remote"], r["is_brs"], r["direction"], bytes(r["payload"]))
+    assert sorted(map(key, back)) == sorted(map(key, f.collect() * 2))
+    can = f.where("bus = 'CAN' and not is_error and not is_remote")
+    exports.convert_frames([can], str(tmp_path / "o.csv"), 0, 10)
+    assert sorted(map(key, csv_files.read_raw(spark, str(tmp_path / "o.csv") + "/*.csv").collect())) == sorted(map(key, can.collect()))
+    with pytest.raises(ValueError, match="Unsupported"):
+        exports.convert_frames([f], "x.mf4")
 
 
 def test_general_format(spark):

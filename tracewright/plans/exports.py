@@ -189,3 +189,83 @@ def write_safely(frame: DataFrame, path: str, kind: str = "parquet", **options)
     except BaseException:
         fs.delete(files(beside), True)
         raise
+
+
+def write_raw_csv(frames: DataFrame, path: str) -> None:
+    """Frames as the raw CAN table that read_raw() takes."""
+    number = lambda c: F.col(c).cast("int").cast("string")
+    table = frames.orderBy("frame_idx").select(
+        F.col("t_s").alias("TimestampEpoch"), F.col("channel").alias("BusChannel"), F.hex("arb_id").alias("ID"), number("is_extended").alias("IDE"), F.col("dlc").alias("DLC"), F.octet_length("payload").alias("DataLength"),
+        F.col("direction").alias("Dir"), number("is_fd").alias("EDL"), number("is_brs").alias("BRS"), F.lit("0").alias("ESI"), number("is_remote").alias("RTR"), F.hex("payload").alias("DataBytes"),
+    )
+    table.write.option("sep", ";").csv(path, header=True)
+
+
+def asc_lines(frames: DataFrame) -> DataFrame:
+    """(frame_idx, value): a text log line per frame, without the header."""
+    data = F.rtrim(F.regexp_replace(F.hex("payload"), "(..)", "$1 "))
+    ident = F.concat(F.hex("arb_id"), F.when(F.col("is_extended"), "x").otherwise(""))
+    head = F.format_string("%11.6f", "t_s")
+    way = F.when(F.col("direction") == "Tx", "Tx").otherwise("Rx")
+    channel = F.coalesce(F.col("channel").cast("string"), F.lit("1"))
+    flag = lambda c: F.when(F.col(c), "1").otherwise("0")
+    line = (
+        F.when(F.col("is_error"), F.concat_ws(" ", head, channel, F.lit("ErrorFrame")))
+        .when(F.col("bus") == "LIN", F.concat_ws(" ", head, F.concat(F.lit("L"), channel), F.hex("arb_id"), way, F.col("dlc").cast("string"), data))
+        .when(F.col("is_remote"), F.concat_ws(" ", head, channel, ident, way, F.lit("r"), F.lower(F.hex("dlc"))))
+        .when(F.col("is_fd"), F.concat_ws(" ", head, F.lit("CANFD"), channel, way, ident, flag("is_brs"), F.lit("0"), F.lower(F.hex("dlc")), F.octet_length("payload").cast("string"), data))
+        .otherwise(F.concat_ws(" ", head, channel, ident, way, F.lit("d"), F.lower(F.hex("dlc")), data))
+    )
+    return frames.select("frame_idx", line.alias("value"))
+
+
+def write_asc(frames: DataFrame, path: str) -> None:
+    """One text log in frame order. Formats that are one file are written by one task, which streams the sorted rows."""
+    spark = frames.sparkSession
+    header = ["date Mon Jan 1 00:00:00 2024", "base hex  timestamps absolute", "internal events logged"]
+    lines = spark.createDataFrame([(k - len(header), h) for k, h in enumerate(header)], "frame_idx long, value string").unionByName(asc_lines(frames))
+    lines.orderBy("frame_idx").coalesce(1).select("value").write.text(path)
+
+
+def export_excel(table: DataFrame, path: str, most: int = EXCEL_ROWS) -> int:
+    """A worksheet with a frozen heading and the first `most` rows of `table`, streamed through the driver; rows written."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def cell(x) -> str:
+        if x is None:
+            return "<c/>"
+        if isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x):
+            return f"<c><v>{x!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
+
+    row = lambda cells: f"<row>{''.join(map(cell, cells))}</row>"
+    space, office = "http://schemas.openxmlformats.org", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        out.writestr("[Content_Types].xml", f'<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{office}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{office}.worksheet+xml"/></Types>')
+        out.writestr("_rels/.rels", f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        out.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        out.writestr("xl/workbook.xml", f'<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets><sheet name="Export" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        with out.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(f'<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>{row(table.columns)}'.encode())
+            for record in table.limit(most).toLocalIterator():
+                sheet.write(row(record).encode())
+                n += 1
+            sheet.write(b"</sheetData></worksheet>")
+    return n
+
+
+def convert_frames(parts: Sequence[DataFrame], output: str, start: float | None = None, end: float | None = None) -> None:
+    """Join and cut recordings, then write them as a text log, a raw table or Parquet by the output's suffix."""
+    joined = cut_frames(join_frames(parts), start, end)
+    ordered = joined.withColumn("frame_idx", F.col("file_ord").cast("long") * F.lit(1 << 40) + F.col("frame_idx")).drop("file_ord")
+    kind = os.path.splitext(output)[1].lower()
+    if kind == ".asc":
+        write_asc(ordered, output)
+    elif kind == ".csv":
+        write_raw_csv(ordered, output)
+    elif kind == ".parquet":
+        write_safely(ordered, output)
+    else:
+        raise ValueError(f"Unsupported output format: {kind}")

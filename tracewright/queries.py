@@ -98,7 +98,7 @@ def _formula(name: str, formula: str, sql: str, digits: int = 4, where: str = "t
 
 _A, _B = f"`{VIEW}`", f"`{CLICK}`"
 _formula("zoh_sum", f"{_A} + {_B}", "a + b")
-_formula("formula_arithmetic", f"({_A} - {_B}) * 2 / ({_B} + 1)", "(a - b) * 2 / (b + 1)")
+_formula("formula_arithmetic", f"({_A} - {_B}) * 2 / ({_B} + 1.2347)", "(a - b) * 2 / (b + 1.2347::double)")
 _formula("formula_divide_by_zero", f"{_A} / ({_B} - {_B})", "cast('nan' as double)")
 _formula("formula_logs", f"log({_A} + 1) + log10({_B} + 1) + log2({_A} + {_B} + 1) + sqrt({_A}) + exp(-{_B})", "ln(a + 1) + log10(b + 1) + log2(a + b + 1) + sqrt(a) + exp(-b)")
 _formula("formula_log_domain", f"log({_A} - 100) + 0 * {_B}", "case when a > 100 then ln(a - 100) + 0 * b end")
