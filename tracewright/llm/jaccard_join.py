@@ -209,6 +209,7 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     found, _ = materialize(fingerprints(docs, size), "shingles")
     named = found.where("doc_id is not null and n_words > 0")
     classes = named.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    classes, _ = materialize(classes, "classes")  # as a table, so that the join below can split a class with very many copies
     reps = (
         named.where("n_shingles > 0").join(classes.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("class_id")))
         .select(F.col("doc_id").alias("id"), "n_shingles", F.col("n_copies").alias("copies"), "bands").dropDuplicates(["id"])
