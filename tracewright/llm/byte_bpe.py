@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, need
 
-HEAD, HEAD_BYTES = 524_288, 40
+HEAD, HEAD_BYTES = 262_144, 40
 BUCKETS = 65_536
 NONE = 2_147_483_647  # no such pair
 CODE = 1 << 31  # ids from here on stand for words that are still to be folded
@@ -70,13 +70,18 @@ def rank_of(table: Column, piece: Column, buckets: int = BUCKETS) -> Column:
     return F.coalesce(F.get(F.filter(bucket, lambda e: e["k"] == piece), 0)["v"], F.lit(NONE))
 
 
-def encode_word(word: Column, table: Column) -> Column:
-    """array<int> ids of a binary word: the lowest-ranked pair is merged, leftmost first, until none is left."""
+def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>> ids of an array of binary words (NULL for NULL).
+
+    The rank map is bound once, as the variable of an outer lambda, so the plan and each task hold one copy.
+    """
+    return F.transform(F.array(rank_literal(ranks)), lambda table: F.transform(words, lambda w: _encode_word(w, table)))[0]
+
+
+def _encode_word(word: Column, table: Column) -> Column:
+    """array<int> ids of a word: the lowest-ranked pair is merged, leftmost first, until none is left."""
     rank = lambda piece: rank_of(table, piece)
     size = F.octet_length(word)
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1))
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, 2)))
-    start = F.struct(parts.alias("p"), pairs.alias("r"))
 
     def step(state, _):
         p, r = state["p"], state["r"]
@@ -93,9 +98,14 @@ def encode_word(word: Column, table: Column) -> Column:
 
         return F.transform(F.array(F.coalesce(F.array_position(r, F.array_min(r)), F.lit(1)).cast("int")), merge)[0]
 
-    folded = F.transform(F.aggregate(F.sequence(F.lit(1), size - 1), start, step)["p"], rank)
-    known = rank(word)
-    return F.when(size == 0, F.array().cast("array<int>")).when(known != NONE, F.array(known)).otherwise(folded)
+    def fold(known):
+        parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1))
+        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, 2)))
+        start = F.struct(parts.alias("p"), pairs.alias("r"))
+        folded = F.transform(F.aggregate(F.sequence(F.lit(1), size - 1), start, step)["p"], rank)
+        return F.when(size == 0, F.array().cast("array<int>")).when(known != NONE, F.array(known)).otherwise(folded)
+
+    return F.transform(F.array(rank(word)), fold)[0]
 
 
 def word_counts(texts: DataFrame, pattern: str, flush: int = 200_000) -> DataFrame:
@@ -217,9 +227,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     """doc_id and the columns of `result` (Ids() if None, or Digests(ranks)) of every text."""
     result = result or Ids()
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = rank_literal(ranks)
     counts, _ = materialize(word_counts(texts, pattern), "words")
-    known, _ = materialize(frequent_words(counts, head).select("word", encode_word(F.col("word"), table).alias("ids")), "head")
+    known, _ = materialize(frequent_words(counts, head).select("word", encode_words(F.array("word"), ranks)[0].alias("ids")), "head")
     sent = docs.sparkSession.sparkContext.broadcast(_pack(known.toArrow()))  # at most `head` words of HEAD_BYTES and as many ids
 
     key = uuid.uuid4().hex
@@ -248,7 +257,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
             yield pa.RecordBatch.from_arrays([batch.column(0), *result.columns(out)], names=names)
 
     split_up = texts.mapInArrow(look_up, "doc_id long, ids binary, absent array<binary>")
-    folded = split_up.select("doc_id", "ids", F.transform("absent", lambda w: encode_word(w, table)).alias("folded"))
+    folded = split_up.select("doc_id", "ids", encode_words(F.col("absent"), ranks).alias("folded"))
     return folded.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
 
 
