@@ -150,7 +150,7 @@ def test_dispatch(spark, tmp_path):
         recordings.read_recording(spark, path, {})
     with pytest.raises(DatabaseError, match="LDF"):
         recordings.read_recording(spark, write(tmp_path, "b.trc", TRC1), {("CAN", 1): "x.ldf"})
-    for name, words in (("x.mf4", "not supported"), ("x.bin", "Unsupported")):
+    for name, words in (("x.arxml", "not supported"), ("x.bin", "Unsupported")):
         with pytest.raises(recordings.UnsupportedFormat, match=words):
             recordings.read_recording(spark, name)
     with pytest.raises(csv_files.CsvError):

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.keys import decode_channel_key, encode_channel_key
-from . import asc, blf, csv_files, trc
+from . import asc, blf, csv_files, mdf, trc
 from .databases import DatabaseError
 
 FRAME_FORMATS = (".asc", ".trc", ".blf")
-UNSUPPORTED = {".mf4": "MF4", ".mdf": "MDF", ".arxml": "ARXML"}
+MDF_FORMATS = (".mf4", ".mdf")
+UNSUPPORTED = {".arxml": "ARXML"}
 
 
 class UnsupportedFormat(ValueError):
@@ -43,7 +44,7 @@ def read_recording(spark: SparkSession, path: str, databases: dict[tuple[str, in
     kind = suffix(path)
     if kind in UNSUPPORTED:
         raise UnsupportedFormat(f"{UNSUPPORTED[kind]} files are not supported: export the recording as BLF, ASC, TRC or CSV")
-    if kind not in (*FRAME_FORMATS, ".csv"):
+    if kind not in (*FRAME_FORMATS, *MDF_FORMATS, ".csv"):
         raise UnsupportedFormat(f"Unsupported file format: {kind or path}")
     if databases is not None and database_required(spark, path):
         if not databases:
@@ -56,6 +57,9 @@ def read_recording(spark: SparkSession, path: str, databases: dict[tuple[str, in
         return Recording("frames", frames=trc.read_frames(spark, path), status=trc.read_status(spark, path))
     if kind == ".blf":
         return Recording("frames", frames=blf.read_frames(spark, path))
+    if kind in MDF_FORMATS:
+        frames, samples = mdf.read_frames(spark, path), mdf.read_samples(spark, path)
+        return Recording("frames", frames=frames, samples=samples) if frames.limit(1).count() else Recording("samples", samples=samples)
     layout = csv_files.sniff(spark, path)[0]
     if layout == "raw":
         return Recording("frames", frames=csv_files.read_raw(spark, path))
