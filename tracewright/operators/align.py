@@ -17,23 +17,24 @@ from .keys import TIME
 BUCKETS = 256
 
 
-def _bucket(frame: DataFrame, time: str, buckets: int) -> DataFrame:
-    """Equal slices of the time range; its two ends are one aggregate row."""
-    ends = frame.where(~F.isnan(time)).agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
-    if ends["lo"] is None or not ends["hi"] > ends["lo"]:
+def _bucket(frame: DataFrame, time: str, buckets: int, ends: tuple[float, float] | None) -> DataFrame:
+    """Equal slices of the time range; its two ends are one aggregate row, if they aren't given. Rows beyond fall into the outer slices."""
+    low, high = ends or frame.where(~F.isnan(time)).agg(F.min(time), F.max(time)).first()
+    if low is None or not high > low:
         return frame.withColumn("_bucket", F.lit(0))
-    width = (ends["hi"] - ends["lo"]) / buckets
-    return frame.withColumn("_bucket", F.least(F.floor((F.col(time) - F.lit(ends["lo"])) / F.lit(width)), F.lit(buckets - 1)).cast("int"))
+    at = F.floor((F.col(time) - F.lit(float(low))) / F.lit((high - low) / buckets))
+    return frame.withColumn("_bucket", F.greatest(F.least(at, F.lit(buckets - 1)), F.lit(0)).cast("int"))
 
 
-def hold(frame: DataFrame, columns: Sequence[str], time: str = "t_s", then: Sequence[str] = (), by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def hold(frame: DataFrame, columns: Sequence[str], time: str = "t_s", then: Sequence[str] = (), by: Sequence[str] = (), buckets: int = BUCKETS, ends: tuple[float, float] | None = None) -> DataFrame:
     """frame with each of `columns` replaced by its last non-NULL value at or before the row.
 
+    `ends` is the known range of time, which saves a pass over an expensive frame.
     Rows are ordered by time, then `then`; `by` names keys (say, of recordings) that are held apart. NaN is a value
     and is held; rows before the first value stay NULL.
     """
     order = [time, *then]
-    sliced = _bucket(frame, time, buckets)
+    sliced = _bucket(frame, time, buckets, ends)
     up_to = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = sliced.groupBy(*by, "_bucket").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l{k}") for k, c in enumerate(columns)])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
@@ -76,7 +77,7 @@ def wide(samples: DataFrame, keys: Sequence[str], values: Sequence[str] = ("valu
 
 def aligned(samples: DataFrame, keys: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """(t_s, s0, s1, ...): every key's held value on the union of their times, from the latest first sample on."""
-    held = hold(wide(samples, keys, by=by), [f"s{i}" for i in range(len(keys))], by=by, buckets=buckets)
+    held = hold(wide(samples, keys, by=by), [f"s{i}" for i in range(len(keys))], by=by, buckets=buckets, ends=time_bounds(samples))
     for i in range(len(keys)):
         held = held.where(F.col(f"s{i}").isNotNull())
     return held.select(*by, "t_s", *[F.col(f"s{i}.value").alias(f"s{i}") for i in range(len(keys))])
@@ -118,7 +119,7 @@ def on_grid(samples: DataFrame, keys: Sequence[str], grid: DataFrame, value: Col
     table = wide(shown, keys, ["_shown"]).withColumn("_n", F.lit(0).cast("long"))
     points = grid.groupBy(F.col("t_s")).agg(F.count(F.lit(1)).alias("_n"))
     both = table.unionByName(points, allowMissingColumns=True)
-    held = hold(both, [f"s{i}" for i in range(len(keys))], then=["_n"], buckets=buckets).where("_n > 0")
+    held = hold(both, [f"s{i}" for i in range(len(keys))], then=["_n"], buckets=buckets, ends=time_bounds(samples)).where("_n > 0")
     rows = held.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return rows.select("t_s", *[F.col(f"s{i}._shown").alias(k) for i, k in enumerate(keys)])
 

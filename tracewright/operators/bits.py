@@ -48,7 +48,7 @@ def field_sql(le: str, be: str, first: str, length: str, big: str, signed: str)
     across = f"(shiftleft(get({be}, {word}), {over}) | shiftrightunsigned(get({be}, {word} + 1), 64 - {over}))"
     motorola = f"(if({over} <= 0, {within}, {across}) & {mask})"
     raw = f"if({big}, {motorola}, {little})"
-    return f"cast(if({signed}, shiftright(shiftleft({raw}, cast(64 - {length} as int)), cast(64 - {length} as int)), {raw}) as bigint)".replace("div 64", "div 64").replace("get(", "get(")
+    return f"cast(if({signed}, shiftright(shiftleft({raw}, cast(64 - {length} as int)), cast(64 - {length} as int)), {raw}) as bigint)"
 
 
 def unsigned_double(raw: Column) -> Column:

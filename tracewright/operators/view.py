@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bits
-
 STEP_POINTS = 100_000
 
 
@@ -77,5 +75,3 @@ def value_table(signals: DataFrame, db_id: str, message: str, signal: str) -> Da
     row = signals.where((F.col("db_id") == db_id) & (F.col("message") == message) & (F.col("signal") == signal))
     return row.select("scale", "offset", F.explode("choices").alias("raw", "label")).select("raw", (F.col("raw") * F.col("scale") + F.col("offset")).alias("physical"), "label").orderBy("raw")
 
-
-__all__ = ["bits", "peaks", "raw_hex", "raw_range", "segments", "signal_properties", "step_points", "value_table"]

@@ -35,7 +35,7 @@ def calculate(samples: DataFrame, formula: str, available: Iterable[str] | None
     table = align.wide(source, keys, ["value", *held_columns], by)
     lasts = [c.reference for c in calls if c.function == "integral"]
     names = [f"s{i}" for i in range(len(keys))]
-    held = align.hold(table, names, by=by, buckets=buckets)
+    held = align.hold(table, names, by=by, buckets=buckets, ends=align.time_bounds(samples))
     for name in names:
         held = held.where(F.col(name).isNotNull())
     for ref in dict.fromkeys(lasts):
