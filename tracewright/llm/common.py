@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="tracewright-")
+        path = tempfile.mkdtemp(prefix="tracewright-")  # a single machine: removed when Python ends
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
