@@ -217,10 +217,12 @@ class Digests:
         if self.pieces is None:
             self.pieces = pieces_of(self.ranks)
             self.names = [str(k) for k in range(len(self.pieces))]
-        lists = [x.tolist() for x in ids]
-        sha = [hashlib.sha256(",".join(map(self.names.__getitem__, x)).encode()).hexdigest() for x in lists]
-        back = [hashlib.sha256(b"".join(map(self.pieces.__getitem__, x))).hexdigest() for x in lists]
-        return [pa.array([len(x) for x in lists], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+        sha, back = [], []
+        for x in ids:  # a document at a time: Python integers take many times the room of the arrays
+            numbers = x.tolist()
+            sha.append(hashlib.sha256(",".join(map(self.names.__getitem__, numbers)).encode()).hexdigest())
+            back.append(hashlib.sha256(b"".join(map(self.pieces.__getitem__, numbers))).hexdigest())
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None) -> DataFrame:
