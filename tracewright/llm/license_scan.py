@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -117,6 +118,12 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """Always the same model: its training texts and its seed are fixed."""
+    return Model()
+
+
 def _grams(line: Column) -> Column:
     words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
     pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", w[i - 1], w[i]))).otherwise(F.array().cast("array<string>"))
@@ -125,7 +132,7 @@ def _grams(line: Column) -> Column:
 
 def license_scan(docs: DataFrame, model: Model | None = None, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, found array<struct<line, family, probability, overlap>>, families array<string>, n_checked (paragraphs scored)."""
-    model = model or Model()
+    model = model or default_model()
     json_of = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
     weights = json_of({x: [round(float(v), 6) for v in row] for x, row in zip(model.names, model.weights, strict=True)}, "map<string,array<double>>")
     bias = json_of([round(float(v), 6) for v in model.bias], "array<double>")
