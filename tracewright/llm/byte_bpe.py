@@ -67,7 +67,7 @@ def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
 def rank_of(table: Column, piece: Column, buckets: int = BUCKETS) -> Column:
     """The piece's rank, or NONE."""
     bucket = table[(F.crc32(piece) % buckets).cast("int")]
-    return F.coalesce(F.get(F.filter(bucket, lambda e: e["k"] == piece), 0)["v"], F.lit(NONE))
+    return F.aggregate(bucket, F.lit(NONE), lambda found, e: F.when(e["k"] == piece, e["v"]).otherwise(found))
 
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
