@@ -334,3 +334,21 @@ def test_license_scan(spark, licences):
     assert got[k]["families"] == ["Apache-2.0", "MIT"] and got[k + 1]["families"] == ["CC-BY-NC"]
     assert all(got[k]["families"] == [] for k in range(len(ODD)))
     assert license_scan.license_scan(docs(spark, []).limit(0), licences).count() == 0
+
+
+WRAPPED = [
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"),
+    ("MIT", "/*\n * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files\n */"),
+    ("GPL-3.0", "# under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("CC0", "To the extent possible under law, the author has waived\nall copyright and related rights to this work."),
+]
+
+
+def test_license_scan_of_wrapped_texts(spark, licences):
+    texts = [f"some prose\n{t}\nmore prose" for _, t in WRAPPED] + ["Licensed under the Apache License, Version 2.0. Released under the MIT License.", "All rights reserved.\n" * 3]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs(spark, texts), licences).collect()}
+    for k, (family, _) in enumerate(WRAPPED):
+        assert got[k]["families"] == [family] and len(got[k]["found"]) == 1, got[k]
+    assert got[0]["found"][0]["line"] == 1
+    assert got[4]["families"] == ["Apache-2.0", "MIT"]
+    assert [f["line"] for f in got[5]["found"]] == [0, 1, 2]

@@ -1,14 +1,20 @@
-"""License scans: a trained paragraph classifier, native in scoring.
+"""License scans: a trained statement classifier, native in scoring.
 
 A softmax regression over sparse word 1- and 2-grams is fitted on the driver from varied copies of short
 licence statements and of ordinary and legal-sounding sentences (the unknown class). Its probabilities are
-calibrated by a temperature on held-out copies, and a paragraph below the calibrated threshold is unknown. A
+calibrated by a temperature on held-out copies, and a passage below the calibrated threshold is unknown. A
 prediction must be confirmed by comparison with the family's templates: enough of a template's 2-grams must
-stand in the paragraph. Weights and templates are literals; scoring is column expressions over each document's
-paragraphs (lines), without a shuffle.
+stand in the passage. Weights and templates are literals; scoring is column expressions over each document,
+without a shuffle.
 
-A paragraph without any of the templates' anchor words is unknown without scoring: every template holds one,
-and confirmation would fail. Defined results: null and empty texts have no licences; repeated rows repeat.
+Words are read across line ends, so wrapped statements and comment marks don't matter. Passages are lines and
+windows of words: one window starts at each of a template's 2-grams in the document and is as long as the
+template, another is twice as long (and 4 words more, for words put in between), both cut after the last 2-gram.
+Passages that hold too few 2-grams of all templates can't be confirmed and aren't scored.
+
+A document without any of the templates' anchor words is skipped. The words are chosen so that nothing is lost:
+the 2-grams without an anchor word are too few for confirmation, for every template. Defined results: null and
+empty texts have no licences; repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -47,8 +53,6 @@ ORDINARY = (
     "The right to vote is reserved to members.", "You may copy the text by hand.", "Permission to land was granted by the tower.", "The license plate was missing.",
     "All seats are reserved.", "The library of the creative arts is open to the public.", "Common conditions are met in the following source.", "See the copyright office for forms.",
 )
-#: Every template holds one of these (lower case).
-ANCHORS = ("licens", "redistribution", "permission is hereby", "rights reserved", "public license", "public domain", "waived all")
 UNKNOWN = "unknown"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CONFIRM = 0.6
@@ -59,6 +63,30 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
+def template_pairs(text: str) -> list[str]:
+    return [x for x in grams(text) if " " in x] or grams(text)
+
+
+def fewest(pairs: list[str], confirm: float) -> int:
+    """The smallest count of a template's 2-grams that confirms it."""
+    return next(k for k in range(len(pairs) + 1) if k / len(pairs) >= confirm)
+
+
+def anchors(confirm: float) -> list[str]:
+    """Words such that each template's 2-grams without any of them are too few to confirm it."""
+    out: list[str] = []
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        pairs = template_pairs(text)
+        open_pairs = [x for x in pairs if not any(a in w for a in out for w in x.split())]
+        for word in sorted({w for x in pairs for w in x.split()}, key=lambda w: (-len(w), w)):
+            if len(open_pairs) < max(1, fewest(pairs, confirm)):
+                break
+            if any(word in x.split() for x in open_pairs):
+                out.append(word)
+                open_pairs = [x for x in open_pairs if not any(word in w for w in x.split())]
+    return [a for a in out if not any(b != a and b in a for b in out)]
+
+
 class Model:
     def __init__(self, seed: int = 11, copies: int = 40):
         rng = random.Random(seed)
@@ -124,26 +152,38 @@ def default_model() -> Model:
     return Model()
 
 
-def _grams(line: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", w[i - 1], w[i]))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, pairs(w))))[0]
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pairs(words: Column) -> Column:
+    """The 2-gram at each word but the last."""
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
 def license_scan(docs: DataFrame, model: Model | None = None, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, found array<struct<line, family, probability, overlap>>, families array<string>, n_checked (paragraphs scored)."""
+    """One row per document: the id, found array<struct<line, family, probability, overlap>>, families array<string>, n_checked (passages scored).
+
+    A window gives way to one as long as a template that covers more than half of it with a larger overlap.
+    Of passages of one family that share a line, found has the one with the largest overlap; line is where it starts.
+    """
     model = model or default_model()
     json_of = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
     weights = json_of({x: [round(float(v), 6) for v in row] for x, row in zip(model.names, model.weights, strict=True)}, "map<string,array<double>>")
     bias = json_of([round(float(v), 6) for v in model.bias], "array<double>")
     names = json_of(model.names, "array<string>")
     classes = json_of(model.classes, "array<string>")
-    pairs_of = lambda t: [x for x in grams(t) if " " in x] or grams(t)
-    templates = json_of({k: [pairs_of(t) for t in ts] for k, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
-    any_anchor = lambda c: F.expr("false") if not ANCHORS else _any([F.contains(c, F.lit(a)) for a in ANCHORS])
+    templates = json_of({k: [template_pairs(t) for t in ts] for k, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
+    flat = [(t, template_pairs(t)) for ts in TEMPLATES.values() for t in ts]
+    asked = json_of([{"least": fewest(g, confirm), "long": len(re.findall(WORD, t.lower())), "pairs": g} for t, g in flat], "array<struct<least:int,long:int,pairs:array<string>>>")
+    every = json_of(sorted({x for _, g in flat for x in g}), "array<string>")
+    wanted = anchors(confirm)
+    any_anchor = lambda c: _any([F.contains(c, F.lit(a)) for a in wanted])
+    kind = "struct<line:int,family:string,probability:double,overlap:double,last:int,begin:int,end:int,exact:boolean>"
 
-    def judge(line, at):
-        found = _grams(line)
+    def judge(words, line, last, begin=None, end=None, exact=None):
+        place = (F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"), F.lit(False).alias("exact")) if begin is None else (begin.cast("int").alias("begin"), end.cast("int").alias("end"), exact.alias("exact"))
 
         def with_grams(g):
             logits = F.aggregate(F.array_intersect(g, names), bias, lambda acc, x: F.zip_with(acc, F.element_at(weights, x), lambda a, b: a + b))
@@ -153,18 +193,80 @@ def license_scan(docs: DataFrame, model: Model | None = None, confirm: float = C
                 total = F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / model.temperature))
                 family = F.get(classes, (F.array_position(z, top) - 1).cast("int"))
                 overlap = F.coalesce(F.array_max(F.transform(F.element_at(templates, family), lambda t: F.size(F.array_intersect(g, t)) / F.size(t))), F.lit(0.0))
-                return F.struct(at.cast("int").alias("line"), family.alias("family"), (1 / total).alias("probability"), overlap.alias("overlap"))
+                return F.struct(line.cast("int").alias("line"), family.alias("family"), (1 / total).alias("probability"), overlap.alias("overlap"), last.cast("int").alias("last"), *place)
+
+            return _let(logits, with_logits)
+
+        return _let(F.array_distinct(F.concat(words, _pairs(words))), with_grams)
+
+    def near(pairs):
+        """Templates that the 2-grams can confirm."""
+        return _let(F.array_intersect(pairs, every), lambda known: F.filter(asked, lambda t: F.size(F.array_intersect(known, t["pairs"])) >= t["least"]))
+
+    def windows(words, at, pairs, t):
+        """(first, last word) of the windows that confirm the template t."""
 
-            return F.transform(F.array(logits), with_logits)[0]
+        def with_hits(hits):
+            def spans(h, k):
+                within = lambda long: F.filter(F.slice(hits, k + 1, long - 1), lambda q: q["i"] - h["i"] <= long - 2)
+                count = lambda span: F.size(F.array_distinct(F.transform(span, lambda q: q["x"])))
+                made = lambda span, long: F.struct(h["i"].alias("first"), (F.element_at(span, -1)["i"] + 1).alias("last"), count(span).alias("n"), (long == t["long"]).alias("exact"))
+                both = F.transform(F.array(t["long"], 2 * t["long"] + 4), lambda long: _let(within(long), lambda span: made(span, long)))
+                return F.filter(both, lambda s, k: (s["n"] >= t["least"]) & ((k == 0) | (s["n"] > F.get(both, F.lit(0))["n"])))
 
-        return F.transform(F.array(found), with_grams)[0]
+            return F.flatten(F.transform(hits, spans))
+
+        hits = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda h: F.array_contains(t["pairs"], h["x"]))
+        return F.transform(_let(hits, with_hits), lambda s: judge(F.slice(words, s["first"] + 1, s["last"] - s["first"] + 1), F.get(at, s["first"]), F.get(at, s["last"]), s["first"], s["last"], s["exact"]))
+
+    words_of = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    none = F.array().cast(f"array<{kind}>")
+
+    def scan(lines):
+        def with_words(words):
+            at = F.flatten(F.transform(lines, lambda s: F.array_repeat(s["at"], F.size(s["words"]))))
+            single = F.filter(lines, lambda s: F.size(near(_pairs(s["words"]))) > 0)
+
+            def with_pairs(pairs):
+                def with_near(ts):
+                    inside = _let(at, lambda a: F.flatten(F.transform(ts, lambda t: windows(words, a, pairs, t))))
+                    return F.when(F.size(ts) > 0, F.concat(inside, F.transform(single, lambda s: judge(s["words"], s["at"], s["at"])))).otherwise(none)
+
+                return _let(near(pairs), with_near)
+
+            return _let(_pairs(words), with_pairs)
+
+        return _let(F.flatten(F.transform(lines, lambda s: s["words"])), with_words)
 
     source = need(docs, id_col, text_col).select(F.col(id_col), F.lower(F.col(text_col).cast("string")).alias("_low"))
-    lines = F.transform(F.split("_low", "\n", -1), lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-    checked = F.when(any_anchor(F.col("_low")), F.filter(lines, lambda s: any_anchor(s["line"])))
-    scored = source.select(id_col, F.transform(F.coalesce(checked, F.array().cast("array<struct<at:int,line:string>>")), lambda s: judge(s["line"], s["at"])).alias("_all"))
+    lines = F.transform(F.split("_low", "\n", -1), lambda line, i: F.struct(i.alias("at"), words_of(line).alias("words")))
+    scored = source.select(id_col, F.coalesce(F.when(any_anchor(F.col("_low")), _let(lines, scan)), none).alias("_all"))
     passes = lambda s: (s["family"] != UNKNOWN) & (s["probability"] >= model.threshold) & (s["overlap"] >= confirm)
-    found = scored.select(id_col, "_all", F.filter("_all", passes).alias("found"))
+
+    def alone(all_):
+        """Without windows that lie by more than half in a template-long one of another family with a larger overlap."""
+
+        def clashes(s, y):
+            shared = F.least(s["end"], y["end"]) - F.greatest(s["begin"], y["begin"]) + 1
+            return (y["family"] != s["family"]) & (y["overlap"] > s["overlap"]) & (2 * shared > s["end"] - s["begin"] + 1)
+
+        several = F.size(F.array_distinct(F.transform(all_, lambda s: s["family"]))) > 1
+        strong = lambda ys: F.filter(all_, lambda s: s["begin"].isNull() | (s["overlap"] >= 1) | ~F.exists(ys, lambda y: clashes(s, y)))
+        return F.when(several, _let(F.filter(all_, lambda y: y["exact"]), strong)).otherwise(all_)
+
+    passed = _let(F.filter("_all", passes), alone)
+    ordered = F.array_sort(F.transform(passed, lambda s: F.struct(s["family"].alias("family"), s["line"].alias("line"), s["last"].alias("last"), s["overlap"].alias("overlap"), s["probability"].alias("probability"))))
+
+    def merged(acc, s):
+        top = F.try_element_at(acc, F.lit(-1))
+        shares = F.coalesce((top["family"] == s["family"]) & (s["line"] <= top["last"]), F.lit(False))
+        better = (s["overlap"] > top["overlap"]) | ((s["overlap"] == top["overlap"]) & (s["probability"] > top["probability"]))
+        return F.when(~shares, F.concat(acc, F.array(s))).when(better, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(s))).otherwise(acc)
+
+    start = F.array().cast("array<struct<family:string,line:int,last:int,overlap:double,probability:double>>")
+    kept = F.aggregate(ordered, start, merged)
+    rows = F.array_sort(F.transform(kept, lambda s: F.struct(s["line"].alias("line"), s["family"].alias("family"), s["probability"].alias("probability"), s["overlap"].alias("overlap"))))
+    found = scored.select(id_col, "_all", rows.alias("found"))
     return found.select(id_col, "found", F.array_sort(F.array_distinct(F.transform("found", lambda s: s["family"]))).alias("families"), F.size("_all").cast("long").alias("n_checked"))
 
 
