@@ -352,3 +352,13 @@ def test_license_scan_of_wrapped_texts(spark, licences):
     assert got[0]["found"][0]["line"] == 1
     assert got[4]["families"] == ["Apache-2.0", "MIT"]
     assert [f["line"] for f in got[5]["found"]] == [0, 1, 2]
+
+
+def test_license_prefilter_loses_nothing(spark, licences):
+    text = "granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    assert license_scan.license_scan(docs(spark, [text]), licences).first()["families"] == ["MIT"]
+    for confirm in (0.3, license_scan.CONFIRM, 0.9):
+        found = license_scan.anchors(confirm)
+        for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+            pairs = license_scan.template_pairs(t)
+            assert sum(not any(a in x for a in found) for x in pairs) / len(pairs) < confirm, t
