@@ -279,3 +279,10 @@ def test_general_format(spark):
 def test_convert_job_rules(job, words):
     with pytest.raises(ValueError, match=words):
         job.validate()
+
+
+def test_step_points_of_long_series(spark):
+    n = 100_001
+    s = spark.range(n).selectExpr("'A' as signal_key", "id as seq", "cast(id as double) as t_s", "cast(id as double) as value")
+    assert view.step_points(s).groupBy("corner").count().orderBy("corner").collect() == [(0, n), (1, n - 1)]
+    assert view.step_points(s, most=n - 1).count() == n

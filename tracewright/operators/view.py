@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: a display may leave series of more samples without corners.
 STEP_POINTS = 100_000
 
 
@@ -19,13 +20,16 @@ def segments(samples: DataFrame) -> DataFrame:
     return samples.withColumn("drawn", F.coalesce(fine(F.col("value")) & fine(nxt) & (nt >= F.col("t_s")), F.lit(False)))
 
 
-def step_points(samples: DataFrame, most: int = STEP_POINTS) -> DataFrame:
-    """Vertices of the step curves (2n - 1 of n samples); longer series stay as they are."""
-    w = Window.partitionBy("signal_key")
-    rows = samples.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_next", F.lead("t_s").over(_w()))
+def step_points(samples: DataFrame, most: int | None = None) -> DataFrame:
+    """Vertices of the step curves (2n - 1 of n samples); with `most` (for display), longer series stay as they are."""
+    rows = samples.withColumn("_next", F.lead("t_s").over(_w()))
+    has_corner = F.col("_next").isNotNull()
+    if most is not None:
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("signal_key")))
+        has_corner = has_corner & (F.col("_n") <= most)
     own = F.struct(F.lit(0).alias("corner"), F.col("t_s").alias("t_s"))
     corner = F.struct(F.lit(1).alias("corner"), F.col("_next").alias("t_s"))
-    points = F.when(F.col("_next").isNotNull() & (F.col("_n") <= most), F.array(own, corner)).otherwise(F.array(own))
+    points = F.when(has_corner, F.array(own, corner)).otherwise(F.array(own))
     return rows.withColumn("_p", F.explode(points)).select("signal_key", "seq", "_p.corner", "_p.t_s", "value")
 
 
