@@ -286,3 +286,10 @@ def test_step_points_of_long_series(spark):
     s = spark.range(n).selectExpr("'A' as signal_key", "id as seq", "cast(id as double) as t_s", "cast(id as double) as value")
     assert view.step_points(s).groupBy("corner").count().orderBy("corner").collect() == [(0, n), (1, n - 1)]
     assert view.step_points(s, most=n - 1).count() == n
+
+
+def test_search_looks_into_data_of_large_stores(spark):
+    one = frames(spark, [(0x200, b"\xab\xcd")]).drop("frame_idx", "payload")
+    many = spark.range(500_001).selectExpr("id as frame_idx", "if(id = 7, X'ABCD', X'0102') as payload").crossJoin(one)
+    assert [r["frame_idx"] for r in trace.search(many, "abcd").collect()] == [7]
+    assert trace.search(many, "abcd", data_limit=500_000).count() == 0

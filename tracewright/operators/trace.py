@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .keys import channel_label
 
-#: Data bytes are searched in stores of at most so many frames; a page and its step.
+#: A display may search data bytes only in stores of at most so many frames; a page and its step.
 DATA_SEARCH_FRAMES, PAGE, PAGE_STEP = 500_000, 5_000, 1_000
 KIND = ("arb_id", "channel", "bus", "is_extended", "is_error", "is_remote")
 PADDED_BYTES = 64
@@ -49,11 +49,12 @@ def field_match(needle: str, exact_id_known: Column, with_data: Column) -> Colum
     return F.coalesce(out, F.lit(False))
 
 
-def search(frames: DataFrame, needle: str = "", bus: str | None = None, channel: int | None = None, data_limit: int = DATA_SEARCH_FRAMES) -> DataFrame:
+def search(frames: DataFrame, needle: str = "", bus: str | None = None, channel: int | None = None, data_limit: int | None = None) -> DataFrame:
     """Frames that answer the needle and the channel filter, in the input's columns.
 
     Fields are asked first; only if no frame of the whole store (whatever its channel) answers by a field, the
-    needle is looked for in the frames' text. That and the presence of the identifier are one aggregate row.
+    needle is looked for in the frames' text. That and the presence of the identifier are one aggregate row. With
+    `data_limit` (for display), data bytes of stores of more frames are not looked at.
     """
     frames = frames if "name" in frames.columns else frames.withColumn("name", F.lit(None).cast("string"))
     columns = frames.columns
@@ -61,7 +62,7 @@ def search(frames: DataFrame, needle: str = "", bus: str | None = None, channel:
     if needle.strip():
         digits = _identifier_needle(needle.strip())
         present = frames.agg(F.coalesce(F.bool_or(F.lower(F.hex("arb_id")) == F.lit(digits)), F.lit(False)).alias("id"), F.count(F.lit(1)).alias("n")).first()
-        match = field_match(needle, F.lit(bool(present["id"])), F.lit(present["n"] <= data_limit))
+        match = field_match(needle, F.lit(bool(present["id"])), F.lit(data_limit is None or present["n"] <= data_limit))
         any_field = frames.agg(F.coalesce(F.bool_or(match), F.lit(False)).alias("any")).first()["any"]
         out = frames.where(match if any_field else F.instr(frame_text(F.col("name")), needle.strip().lower()) > 0)
     if bus is not None:
