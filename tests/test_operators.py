@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import struct
@@ -293,3 +294,12 @@ def test_search_looks_into_data_of_large_stores(spark):
     many = spark.range(500_001).selectExpr("id as frame_idx", "if(id = 7, X'ABCD', X'0102') as payload").crossJoin(one)
     assert [r["frame_idx"] for r in trace.search(many, "abcd").collect()] == [7]
     assert trace.search(many, "abcd", data_limit=500_000).count() == 0
+
+
+def test_table_view_keeps_the_union_of_times(samples):
+    s = samples(**{"CH1::M::A": ([0, 2, 4], [1, 2, 3]), "CH1::N::A": ([1, 3], [7, 8])})
+    keys = ["CH1::M::A", "CH1::N::A"]
+    whole = [tuple(r) for r in exports.table_view(s, keys).collect()]
+    assert [r[0] for r in whole] == [f"{t}.000000" for t in range(5)]
+    assert [tuple(r) for r in exports.table_view(s, keys, most=2).collect()] == whole[:2]
+    assert inspect.signature(exports.table_view).parameters["most"].default is None

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align
 
-#: Rows that a worksheet and the table view hold, and from which the table's grid is the densest signal's.
+#: Rows that a worksheet holds, and that a displayed table view holds at most.
 EXCEL_ROWS, TABLE_ROWS = 1_048_575, 5_000_000
 TIME_NAMES = ("time", "t", "timestamps")
 
@@ -79,16 +79,13 @@ def export_parquet(samples: DataFrame, path: str) -> None:
     samples.write.partitionBy("message").parquet(path)
 
 
-def table_view(samples: DataFrame, keys: Sequence[str], most: int = TABLE_ROWS) -> DataFrame:
-    """Rows of the union of times (the densest signal's if that is more than `most`), formatted; the first `most`."""
+def table_view(samples: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """Rows of the union of times, formatted; with `most` (for display, say TABLE_ROWS), the first `most` of them."""
     chosen = samples.where(F.col("signal_key").isin(list(keys)))
-    grid = align.union_grid(chosen)
-    if grid.count() > most:
-        dense = chosen.groupBy("signal_key").count().orderBy(F.desc("count"), "signal_key").first()["signal_key"]
-        grid = align.reference_grid(chosen, dense)
     label = F.when(F.coalesce("label", F.lit("")) != "", F.col("label")) if "label" in samples.columns else F.lit(None)
     shown = F.coalesce(label, F.when(~F.isnan("value"), general_format(F.col("value"))))
-    table = align.on_grid(chosen, keys, grid, shown).orderBy("t_s").limit(most)
+    table = align.on_grid(chosen, keys, align.union_grid(chosen), shown).orderBy("t_s")
+    table = table if most is None else table.limit(most)
     return table.select(F.format_string("%.6f", "t_s").alias("Time"), *[F.coalesce(F.col(f"`{k}`"), F.lit("")).alias(k) for k in keys])
 
 
