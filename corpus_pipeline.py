@@ -36,8 +36,16 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays."""
-    return _chosen(docs, jaccard_join.jaccard_join(docs))
+    """One row with the smallest id of each group of near copies stays."""
+    verdicts, _ = materialize(jaccard_join.jaccard_join(docs, keyed=True), "near")
+    ids = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("any"), F.bool_and("kept").alias("all")).withColumnRenamed("doc_id", "_id")
+    same = F.col("doc_id") == F.col("_id")
+    whole = docs.join(ids.where("not all"), same, "left_anti")
+    # ids with kept and rejected rows: repeated rows, or several texts under one id
+    mixed = docs.join(ids.where("any and not all"), same, "left_semi").withColumn("_key", jaccard_join.text_key(F.coalesce("text", F.lit(""))))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")).distinct()
+    mixed = mixed.join(kept, same & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return whole.unionByName(mixed)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

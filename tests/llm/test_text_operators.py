@@ -362,3 +362,18 @@ def test_license_prefilter_loses_nothing(spark, licences):
         for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
             pairs = license_scan.template_pairs(t)
             assert sum(not any(a in x for a in found) for x in pairs) / len(pairs) < confirm, t
+
+
+def test_jaccard_join_compares_every_text_of_an_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "alone here"), (4, "alone here"), (5, None), (6, one)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in jaccard_join.jaccard_join(table).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, False), (4, 1, 4, True), (5, 0, 5, True), (6, 2, 1, False)]
+    left = corpus_pipeline.near_duplicates(spark, table, "")
+    assert sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == [(1, one), (1, two), (4, "alone here"), (5, "")]
+    odd = spark.createDataFrame([(k, t) for k, t in enumerate([*ODD, " a\x0b b\x0cc\r\n d\u00a0e "])], "doc_id long, text string").where("text is not null")
+    key = {r["doc_id"]: bytes(r["text_key"]) for r in jaccard_join.fingerprints(odd).collect()}
+    assert {r[0]: bytes(r[1]) for r in odd.select("doc_id", jaccard_join.text_key(F.col("text"))).collect()} == key

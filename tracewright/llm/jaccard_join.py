@@ -11,8 +11,8 @@
    count and one component edge per document, never the pairs.
 
 Defined results: null and empty texts have no words and link with nothing; texts below `size` words link
-only with equal texts; repeated rows are copies of each other; rows with a null id are returned unlinked; an id
-is taken to name one text (of several under one id, one is compared).
+only with equal texts; repeated rows are copies of each other; rows with a null id are returned unlinked. Texts are
+compared, not ids: several texts under one id are each compared. Inside, a class goes by 64 bits of its key.
 """
 
 from __future__ import annotations
@@ -148,8 +148,13 @@ def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, text_key binary, n_words long, n_shingles long, bands array<long>")
 
 
+def text_key(text):
+    """The text_key of fingerprints() as a column expression."""
+    return F.unhex(F.md5(F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\x0B\\f]+", " "))))
+
+
 def _tasks(members: DataFrame, block: int, threshold: float) -> DataFrame:
-    """(id, copies, task, side) of candidate members (id, n_shingles, copies, component)."""
+    """(id, doc, copies, parts) of candidate members (id, doc, n_shingles, copies, component)."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("group_size")).withColumnRenamed("component", "_g")
     cell = F.when(F.col("group_size") <= block, F.lit(0)).otherwise(F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(threshold)) + 1e-9)).cast("int")
     members = members.join(sizes, F.col("component") == F.col("_g")).withColumn("cell", cell)
@@ -161,7 +166,7 @@ def _tasks(members: DataFrame, block: int, threshold: float) -> DataFrame:
         transform(sequence(0, own - 1), j -> struct(struct(component as g, cell as c, cell as d, least(i, j) as i, greatest(i, j) as j) as task, cast(i > j as int) as side)),
         if(above > 0, transform(sequence(0, greatest(above, 1) - 1), j -> struct(struct(component as g, cell as c, cell + 1 as d, i as i, j as j) as task, 0 as side)), array()),
         if(below > 0, transform(sequence(0, greatest(below, 1) - 1), j -> struct(struct(component as g, cell - 1 as c, cell as d, j as i, i as j) as task, 1 as side)), array()))""")
-    return joined.select("id", "copies", made.alias("parts"))
+    return joined.select("id", "doc", "copies", made.alias("parts"))
 
 
 def _verify(texts: DataFrame, size: int, threshold: float, tolerance: float) -> DataFrame:
@@ -200,46 +205,52 @@ def _verify(texts: DataFrame, size: int, threshold: float, tolerance: float) ->
     return rows.groupBy("task").applyInPandas(compare, "id long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, class_id, n_copies, n_links, component_id, kept.
+def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, keyed: bool = False) -> DataFrame:
+    """One row per input row: doc_id, class_id, n_copies, n_links, component_id, kept (and text_key if keyed).
 
     class_id is the smallest id with the same words, n_links counts the other rows (copies included) at or
-    above the threshold, component_id is the smallest id reachable by links, kept marks that row.
+    above the threshold, component_id is the smallest id reachable by links, kept marks one row of that id in each component.
     """
-    found, _ = materialize(fingerprints(docs, size), "shingles")
+    found, _ = materialize(fingerprints(docs, size).withColumn("row_id", F.monotonically_increasing_id()), "shingles")
     named = found.where("doc_id is not null and n_words > 0")
-    classes = named.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
+    classes = named.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")).withColumn("node", F.xxhash64("text_key"))
     classes, _ = materialize(classes, "classes")  # as a table, so that the join below can split a class with very many copies
     reps = (
         named.where("n_shingles > 0").join(classes.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("class_id")))
-        .select(F.col("doc_id").alias("id"), "n_shingles", F.col("n_copies").alias("copies"), "bands").dropDuplicates(["id"])
+        .select(F.col("node").alias("id"), F.col("class_id").alias("doc"), "n_shingles", F.col("n_copies").alias("copies"), "bands").dropDuplicates(["id"])
     )
     reps, _ = materialize(reps, "reps")
     banded = reps.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("b"), "hub")
     stars = banded.join(buckets, F.col("band") == F.col("b")).where("id <> hub").select("id", "hub").distinct()
     groups = connected_components(stars, "id", "hub").select(F.col("id").alias("_id"), "component")
-    members = reps.select("id", "n_shingles", "copies").join(groups, F.col("id") == F.col("_id")).drop("_id")
+    members = reps.select("id", "doc", "n_shingles", "copies").join(groups, F.col("id") == F.col("_id")).drop("_id")
     members, _ = materialize(members, "members")
     tasks = _tasks(members, block, threshold)
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
     # only documents in a bucket of some candidate id are shuffled; at most FILTER rows are broadcast
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    wanted = members.select(bucket("id").alias("_bucket")).distinct()
-    texts = texts.join(F.broadcast(wanted), bucket("_doc") == F.col("_bucket"), "left_semi")
-    verified, _ = materialize(_verify(tasks.join(texts, F.col("id") == F.col("_doc")).dropDuplicates(["id"]), size, threshold, tolerance), "links")
+    wanted = members.select(bucket("doc").alias("_bucket")).distinct()
+    texts = texts.join(F.broadcast(wanted), bucket("_doc") == F.col("_bucket"), "left_semi").withColumn("_node", F.xxhash64(text_key(F.col("text"))))
+    verified, _ = materialize(_verify(tasks.join(texts, (F.col("id") == F.col("_node")) & (F.col("doc") == F.col("_doc"))).dropDuplicates(["id"]), size, threshold, tolerance), "links")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     unions = connected_components(verified.where("id <> root"), "id", "root").select(F.col("id").alias("_id"), "component")
-    by_class = links.join(unions, F.col("id") == F.col("_id"), "left").select(F.col("id").alias("_class"), "links", "component")
+    least = unions.join(members.select(F.col("id").alias("_m"), "doc"), F.col("_id") == F.col("_m")).groupBy("component").agg(F.min("doc").alias("least")).withColumnRenamed("component", "_c")
+    by_class = links.join(unions, F.col("id") == F.col("_id"), "left").join(least, F.col("component") == F.col("_c"), "left").select(F.col("id").alias("_class"), "links", "component", "least")
     member = (
-        found.select("doc_id", "text_key", "n_words")
+        found.select("row_id", "doc_id", "text_key", "n_words")
         .join(classes.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").isNotNull() & (F.col("n_words") > 0), "left")
-        .join(by_class, F.col("class_id") == F.col("_class"), "left")
+        .join(by_class, F.col("node") == F.col("_class"), "left")
     )
     class_id = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component", class_id)
+    component = F.coalesce("least", class_id)
+    member, _ = materialize(member.withColumn("group", F.coalesce("component", "node")).withColumn("first_id", F.coalesce(F.col("doc_id") == component, F.lit(True))), "members")
+    # of several rows of a component's smallest id, one is kept
+    firsts = member.where("first_id and group is not null").groupBy(F.col("group").alias("_g")).agg(F.min("row_id").alias("_row"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    member = member.withColumn("_own", F.when(F.col("first_id") & F.col("group").isNotNull(), F.col("group")).otherwise(F.col("row_id")))
+    member = member.join(firsts, (F.col("_own") == F.col("_g")) & F.col("first_id") & F.col("group").isNotNull(), "left")
     return member.select(
         "doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("n_copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        component.alias("component_id"), (F.col("first_id") & F.coalesce(F.col("row_id") == F.col("_row"), F.lit(True))).alias("kept"), *(["text_key"] if keyed else []),
     )
