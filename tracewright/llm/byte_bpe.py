@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding with ranked merges folded by higher-order functions.
 
-The rank map is a literal of the plan: an array of small buckets by CRC-32, so a lookup is one array access
-and a scan of about one entry. The fold runs over byte arrays of distinct words: first over the frequent
-words of the whole corpus (counted everywhere, at most HEAD of them), whose ids then travel to the workers
-as a broadcast of bounded size; the other words of each Arrow batch, each once, are folded in place. Texts are split into
-words and put together again in Arrow batches; nothing of a document is shuffled but word counts.
+1. Each task splits its texts and numbers the distinct words of a block of texts: a document becomes a run of
+   word numbers, a block carries its distinct words. Blocks are written to the shared folder.
+2. Words that stand in several blocks are folded once (the HEAD of them found in most blocks) and travel to the
+   workers as a broadcast of bounded size, sorted by hash. All other words are folded once in their block.
+3. A document's results are put together from those of its words.
+
+The fold goes over the word's byte array with the rank map as a literal of the plan. The state is an array of one
+integer a token: the rank of its merge with the next token, its place and its id, so the smallest one is the
+leftmost lowest-ranked merge. The rank map is a perfect hash of the mergeable pairs of ids. Arrays are never concatenated in the fold, as that is slow where expressions are
+interpreted. Words of more than LONG bytes keep their state in blocks, so that a merge touches a few blocks only.
 
 Defined results: null and empty texts have no ids; decoding gives back the text's UTF-8 bytes; repeated
 rows are encoded one by one; words of any length are folded whole.
@@ -17,8 +22,7 @@ import hashlib
 import json
 import re
 import uuid
-import zlib
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, need
+from .textstats import span_hashes
+
+HEAD, HEAD_BYTES = 1_048_576, 40
+BLOCK_BYTES = 32 << 20
+LONG, PART = 256, 1024
 
-HEAD, HEAD_BYTES = 262_144, 40
-BUCKETS = 65_536
-NONE = 2_147_483_647  # no such pair
-CODE = 1 << 31  # ids from here on stand for words that are still to be folded
+#: A token's integer: rank (ID bits), place (PLACE bits), id (ID bits), from the highest bit down.
+ID, PLACE = 18, 27
+TOP = ID + PLACE
+NONE = (1 << ID) - 1  # no such merge
 
 #: Texts of these code points only are split by the standard library with the classes written out; others by `regex`.
 _PLAIN = re.compile("[\\x00-\\x7f\\xa1-\\xa9\\xab-\\xac\\xae-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027]*")
@@ -57,142 +66,236 @@ def splitter(pattern: str):
     return split
 
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    table: list[list[dict]] = [[] for _ in range(buckets)]
-    for piece, rank in ranks.items():
-        table[zlib.crc32(piece) % buckets].append({"k": base64.b64encode(piece).decode(), "v": rank})
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<k:binary,v:int>>>")
+class PairTable:
+    """The mergeable pairs of ids as a perfect hash: a pair's bucket has a shift, its place exclusive-or the shift is its slot.
 
+    A slot holds the pair and its merged id, so that any other pair is told from it. `edge` is an id that merges with
+    nothing, for the ends of a word.
+    """
 
-def rank_of(table: Column, piece: Column, buckets: int = BUCKETS) -> Column:
-    """The piece's rank, or NONE."""
-    bucket = table[(F.crc32(piece) % buckets).cast("int")]
-    return F.aggregate(bucket, F.lit(NONE), lambda found, e: F.when(e["k"] == piece, e["v"]).otherwise(found))
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) >= NONE - 1:
+            raise ValueError(f"ids must be below {NONE - 1}")
+        self.first = [ranks[bytes([k])] for k in range(256)]
+        self.edge = max(ranks.values()) + 1
+        found = [(a, b, rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
+        left, right, merged = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
+        self.size = 1 << max(4, int(2.5 * len(found)).bit_length())
+        self.buckets = self.size >> 3
+        rng = np.random.default_rng(1)
+        while True:  # until no two pairs share both bucket and place
+            self.left, self.right = (int(x) * 2 + 1 for x in rng.integers(1 << 39, 1 << 40, 2))
+            mixed = left * self.left + right * self.right
+            bucket, place = (mixed >> 20) & (self.buckets - 1), (mixed >> 39) & (self.size - 1)
+            if len(np.unique(bucket * self.size + place)) == len(found):
+                break
+        self.shift, self.slots = np.zeros(self.buckets, dtype=np.int64), np.full(self.size, (self.edge << ID | self.edge) << ID, dtype=np.int64)
+        taken = np.zeros(self.size, dtype=bool)
+        order = np.argsort(bucket, kind="stable")
+        names, at, counts = np.unique(bucket[order], return_index=True, return_counts=True)
+        for k in np.argsort(-counts, kind="stable"):
+            own = order[at[k] : at[k] + counts[k]]
+            n = 16
+            while True:
+                tries = rng.integers(0, self.size, n)
+                fits = tries[~taken[place[own][None, :] ^ tries[:, None]].any(axis=1)]
+                if len(fits):
+                    break
+                n = min(2 * n, 65_536)
+            self.shift[names[k]] = fits[0]
+            taken[place[own] ^ fits[0]] = True
+            self.slots[place[own] ^ fits[0]] = (left[own] << ID | right[own]) << ID | merged[own]
+
+    def rank(self, a: Column, b: Column, shifts: Column, slots: Column) -> Column:
+        """The merged id of the pair, or NONE."""
+        mixed = a * _long(self.left) + b * _long(self.right)
+        shift = shifts[F.shiftright(mixed, 20).bitwiseAND(_long(self.buckets - 1))]
+        slot = slots[F.shiftright(mixed, 39).bitwiseAND(_long(self.size - 1)).bitwiseXOR(shift)]
+        return F.least(slot.bitwiseXOR(F.shiftleft(F.shiftleft(a, ID).bitwiseOR(b), ID)), _long(NONE))
+
+
+def _literal(values) -> Column:
+    return F.from_json(F.lit(json.dumps([int(x) for x in values], separators=(",", ":"))), "array<bigint>")
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _let(value: Column, kind: str, body) -> Column:
+    """body(value) of the type `kind`, value being computed once.
+
+    A fold over one element: reading an element of a transformed array would work out the type of the whole body anew
+    for every word.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
 
 
-def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
+def encode_words(words: Column, table: PairTable) -> Column:
     """array<array<int>> ids of an array of binary words (NULL for NULL).
 
-    The rank map is bound once, as the variable of an outer lambda, so the plan and each task hold one copy.
+    The rank map is bound once, as variables of outer lambdas, so the plan and each task hold one copy.
     """
-    return F.transform(F.array(rank_literal(ranks)), lambda table: F.transform(words, lambda w: _encode_word(w, table)))[0]
+    kind = "array<array<int>>"
+
+    def bound(byte_ids, shifts, slots):
+        return F.transform(words, lambda w: _encode_word(w, table.edge, byte_ids, lambda a, b: table.rank(a, b, shifts, slots)))
+
+    return _let(_literal(table.first), kind, lambda x: _let(_literal(table.shift), kind, lambda y: _let(_literal(table.slots), kind, lambda z: bound(x, y, z))))
 
 
-def _encode_word(word: Column, table: Column) -> Column:
+def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
     """array<int> ids of a word: the lowest-ranked pair is merged, leftmost first, until none is left."""
-    rank = lambda piece: rank_of(table, piece)
-    size = F.octet_length(word)
-
-    def step(state, _):
-        p, r = state["p"], state["r"]
-
-        def merge(i):
-            whole = F.concat(p[i - 1], p[i])
-            left = F.when(i > 1, F.array(rank(F.concat(p[i - 2], whole)))).otherwise(F.slice(r, 1, 0))
-            right = F.when(i < F.size(r), F.array(rank(F.concat(whole, p[i + 1])))).otherwise(F.slice(r, 1, 0))
-            merged = F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(whole), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"),
-            )
-            return F.when(F.coalesce(F.get(r, i - 1), F.lit(NONE)) == NONE, state).otherwise(merged)
+    state, parts = "array<bigint>", "array<struct<m:bigint,e:array<bigint>>>"
+    least = _long(NONE << TOP)
+    id_of = lambda e: e.bitwiseAND(_long(NONE))
+    ranked = lambda e, r: F.shiftleft(r, TOP).bitwiseOR(e.bitwiseAND(_long((1 << TOP) - 1)))
+    end = _long(NONE << TOP | edge)
 
-        return F.transform(F.array(F.coalesce(F.array_position(r, F.array_min(r)), F.lit(1)).cast("int")), merge)[0]
+    def joined(m, after):
+        """The token that the merge m makes, before the token `after`."""
+        new = F.shiftright(m, TOP)
+        return ranked(m.bitwiseAND(_long(((1 << TOP) - 1) ^ NONE)).bitwiseOR(new), rank(new, id_of(after)))
 
-    def fold(known):
-        parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1))
-        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(word, i, 2)))
-        start = F.struct(parts.alias("p"), pairs.alias("r"))
-        folded = F.transform(F.aggregate(F.sequence(F.lit(1), size - 1), start, step)["p"], rank)
-        return F.when(size == 0, F.array().cast("array<int>")).when(known != NONE, F.array(known)).otherwise(folded)
+    def step(a, _):
+        def merge(m):
+            def at(i):
+                before = lambda x: ranked(x, rank(id_of(x), F.shiftright(m, TOP)))
+                return F.transform(F.array_remove(a, a[i]), lambda x, k: F.when(k == i - 1, joined(m, a[i + 1])).when(k == i - 2, before(x)).otherwise(x))
 
-    return F.transform(F.array(rank(word)), fold)[0]
+            return F.when(m >= least, a).otherwise(_let(F.array_position(a, m).cast("int"), state, at))
 
+        return _let(F.array_min(a), state, merge)
 
-def word_counts(texts: DataFrame, pattern: str, flush: int = 200_000) -> DataFrame:
-    """(word binary, n): how often each distinct word stands in all texts; partial counts leave each task."""
+    def cut(a):
+        piece = lambda j: F.slice(a, j * PART + 1, PART)
+        return F.transform(F.sequence(F.lit(0), F.expr("0") + ((F.size(a) - 1) / PART).cast("int")), lambda j: F.struct(F.array_min(piece(j)).alias("m"), piece(j).alias("e")))
 
-    def run(batches):
-        split, counts = splitter(pattern), Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(split(text.as_py() or ""))
-                if len(counts) > flush:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+    def long_step(bs, _):
+        """Like step, on a run of blocks: the merge's block, the one before it and the two after it are made anew."""
+
+        def merge(m):
+            def inside(w):
+                def at(i):
+                    left = w[i - 2]
+                    two = F.array(ranked(left, rank(id_of(left), F.shiftright(m, TOP))), joined(m, w[i + 1]))
+                    return _let(F.concat(F.slice(w, 1, i - 2), two, F.slice(w, i + 2, F.size(w))), parts, cut)
+
+                return _let(F.array_position(w, m).cast("int"), parts, at)
+
+            def around(k):
+                low = F.greatest(k - 1, F.lit(1))
+                window = F.flatten(F.transform(F.slice(bs, low, k - low + 3), lambda b: b["e"]))
+                return F.concat(F.slice(bs, 1, low - 1), _let(window, parts, inside), F.slice(bs, k + 3, F.size(bs)))
+
+            return F.when(m >= least, bs).otherwise(_let(F.array_position(F.transform(bs, lambda b: b["m"]), m).cast("int"), parts, around))
+
+        return _let(F.array_min(F.transform(bs, lambda b: b["m"])), parts, merge)
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def start(v):
+        following = lambda i: F.coalesce(F.get(v, i + 1), _long(edge))
+        return F.transform(v, lambda x, i: F.shiftleft(rank(x, following(i)), TOP).bitwiseOR(F.shiftleft(i.cast("bigint"), ID)).bitwiseOR(x))
 
+    # bytes as code points of a Latin-1 string; the edges are put at both ends
+    letters = F.split(F.decode(word, "ISO-8859-1"), "")
+    tokens = _let(F.transform(letters, lambda c: byte_ids[F.ascii(c)]), state, start)
+    tokens = F.array_append(F.array_prepend(tokens, end), end)
+    ids = lambda a: F.transform(F.slice(a, 2, F.size(a) - 2), lambda e: id_of(e).cast("int"))
+    steps = F.slice(letters, 1, F.octet_length(word) - 1)
+    folded = F.aggregate(steps, tokens, step, ids)
+    in_parts = F.aggregate(steps, _let(tokens, parts, cut), long_step, lambda bs: ids(F.flatten(F.transform(bs, lambda b: b["e"]))))
+    return F.when(word.isNull(), F.lit(None).cast("array<int>")).when(F.octet_length(word) == 0, F.array().cast("array<int>")).when(F.octet_length(word) > LONG, in_parts).otherwise(folded)
 
-def frequent_words(counts: DataFrame, most: int = HEAD, longest: int = HEAD_BYTES) -> DataFrame:
-    """The most frequent words, `most` at most, none over `longest` bytes: cut at a step of a logarithmic scale of counts."""
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    short = counts.where(F.octet_length("word") <= longest).withColumn("step", step)
+
+class _Numbers(dict):
+    """Words to their numbers, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_BLOCK = "doc_ids array<long>, sizes array<int>, codes binary, words array<binary>"
+
+
+def word_blocks(texts: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block of texts (doc_id, text): ids and word counts of its documents, all word numbers, the distinct words."""
+
+    def run(batches):
+        split = splitter(pattern)
+        numbers, ids, sizes, codes, room = _Numbers(), [], [], [], 0
+
+        def row():
+            words = [w.encode() for w in numbers]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), pa.array([words], pa.list_(pa.binary()))],
+                names=["doc_ids", "sizes", "codes", "words"],
+            )
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                found = array("I", map(numbers.__getitem__, split(text)))
+                ids.append(doc_id)
+                sizes.append(len(found))
+                codes.append(found.tobytes())
+                room += len(text)
+                if room >= block_bytes:
+                    yield row()
+                    numbers, ids, sizes, codes, room = _Numbers(), [], [], [], 0
+        if ids:
+            yield row()
+
+    return texts.mapInArrow(run, _BLOCK)
+
+
+def frequent_words(blocks: DataFrame, most: int = HEAD, longest: int = HEAD_BYTES) -> DataFrame:
+    """The words that stand in most blocks, `most` at most, each in two blocks or more and none over `longest` bytes.
+
+    Cut at a step of a logarithmic scale of counts.
+    """
+    counts = blocks.select(F.explode("words").alias("word")).where(F.octet_length("word") <= longest).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts, _ = materialize(counts.withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "words")
     left, cut = most, None
-    for row in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):  # about a thousand rows at most
+    for row in sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):  # about a thousand rows at most
         if row["words"] > left:
             break
         left, cut = left - row["words"], row["step"]
-    return short.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word")
+    return counts.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word")
 
 
-class _Words(dict):
-    """Words to ids; a word that isn't there gets a code for the time of a batch."""
+def _sorted_words(words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, ends of ids, ids), by hash."""
+    h1, h2 = _hashes(np.frombuffer(b"".join(words), dtype=np.uint8), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    order = np.argsort(h1, kind="stable")
+    starts, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    ends = np.cumsum(n)
+    flat = ids[np.repeat(starts - (ends - n), n) + np.arange(int(n.sum()))] if len(ids) else ids
+    return h1[order], h2[order], ends.astype(np.int64), flat.astype("<u4")
 
-    def start(self) -> None:
-        for word in getattr(self, "absent", ()):
-            del self[word]
-        self.absent: list[str] = []
 
-    def __missing__(self, word: str) -> bytes:
-        code = self[word] = (CODE + len(self.absent)).to_bytes(4, "little")
-        self.absent.append(word)
-        return code
+def _hashes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.cumsum(sizes)
+    h1 = span_hashes(data, last - sizes, last)
+    return h1, span_hashes(data, last - sizes, last, other=True)
 
 
-#: The dictionary of the last broadcast used, kept while a worker serves other functions in between.
-_KEPT: dict[str, _Words] = {}
+#: The table of the last broadcast used, kept while a worker serves other functions in between.
+_KEPT: dict[str, tuple] = {}
 
 
-def _dictionary(sent, key: str) -> _Words:
-    """Words of a broadcast (joined words, their lengths, flat ids and their ends), unpacked once per worker."""
+def _known(sent, key: str):
     if key not in _KEPT:
-        text, sizes, ids, ends = sent.value
-        flat, words, at, first = ids.tobytes(), _Words(), 0, 0
-        for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
-            words[text[at : at + size].decode()] = flat[4 * first : 4 * end]
-            at, first = at + size, end
         _KEPT.clear()
-        _KEPT[key] = words
+        _KEPT[key] = sent.value
     return _KEPT[key]
 
 
-def _pack(known: pa.Table) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    words, ids = known.column("word").combine_chunks(), known.column("ids").combine_chunks()
-    if not known.num_rows:
-        return b"", np.empty(0, np.int64), np.empty(0, "<u4"), np.empty(0, np.int64)
-    sizes = np.array([len(w.as_buffer()) for w in words], dtype=np.int64)
-    return b"".join(w.as_py() for w in words), sizes, np.asarray(ids.flatten(), dtype="<u4"), np.cumsum(np.asarray(ids.value_lengths()))
-
-
-def _filled(codes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """codes with every word code replaced by the word's ids."""
-    at = np.flatnonzero(codes >= CODE)
-    if not len(at):
-        return codes
-    word = codes[at].astype(np.int64) - CODE
-    width = np.ones(len(codes), dtype=np.int64)
-    width[at] = sizes[word]
-    place = np.cumsum(width) - width
-    out = np.empty(int(width.sum()), dtype="<u4")
-    plain = codes < CODE
-    out[place[plain]] = codes[plain]
-    n = sizes[word]
-    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(place[at], n) + inner] = flat[np.repeat(starts[word], n) + inner]
-    return out
+def _word_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and sizes of a binary array."""
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]] if len(words) else np.empty(0, dtype=np.uint8)
+    return data, np.diff(ends)
 
 
 class Ids:
@@ -200,8 +303,12 @@ class Ids:
 
     fields = (("ids", "binary", pa.binary()),)
 
-    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array([x.tobytes() for x in ids], pa.binary())]
+    def words(self, flat: np.ndarray, ends: list[int]) -> None:
+        raw = flat.astype("<u4", copy=False).tobytes()
+        self.raw = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def document(self, codes: list[int]) -> tuple:
+        return (b"".join(map(self.raw.__getitem__, codes)),)
 
 
 class Digests:
@@ -213,54 +320,89 @@ class Digests:
         self.ranks = ranks
         self.pieces = self.names = None
 
-    def columns(self, ids: list[np.ndarray]) -> list[pa.Array]:
+    def words(self, flat: np.ndarray, ends: list[int]) -> None:
         if self.pieces is None:
             self.pieces = pieces_of(self.ranks)
-            self.names = [str(k) for k in range(len(self.pieces))]
-        sha, back = [], []
-        for x in ids:  # a document at a time: Python integers take many times the room of the arrays
-            numbers = x.tolist()
-            sha.append(hashlib.sha256(",".join(map(self.names.__getitem__, numbers)).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join(map(self.pieces.__getitem__, numbers))).hexdigest())
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            self.names = [b"%d" % k for k in range(len(self.pieces))]
+        numbers = flat.tolist()
+        parts = [numbers[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.counts = list(map(len, parts))
+        self.decimal = [b",".join(map(self.names.__getitem__, x)) for x in parts]
+        self.decoded = [b"".join(map(self.pieces.__getitem__, x)) for x in parts]
 
+    def document(self, codes: list[int]) -> tuple:
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return sum(map(self.counts.__getitem__, codes)), sha(b",".join(map(self.decimal.__getitem__, codes))), sha(b"".join(map(self.decoded.__getitem__, codes)))
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None) -> DataFrame:
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None, block_bytes: int = BLOCK_BYTES, rows_out: int = 512) -> DataFrame:
     """doc_id and the columns of `result` (Ids() if None, or Digests(ranks)) of every text."""
     result = result or Ids()
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts, _ = materialize(word_counts(texts, pattern), "words")
-    known, _ = materialize(frequent_words(counts, head).select("word", encode_words(F.array("word"), ranks)[0].alias("ids")), "head")
-    sent = docs.sparkSession.sparkContext.broadcast(_pack(known.toArrow()))  # at most `head` words of HEAD_BYTES and as many ids
-
-    key = uuid.uuid4().hex
+    pairs = PairTable(ranks)
+    # a block is one row, so that it is never split; row groups may close after any of them
+    blocks, _ = materialize(word_blocks(texts, pattern, block_bytes), "blocks", **{"compression": "zstd", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
+    words = frequent_words(blocks, head)
+    whole = docs.sparkSession.createDataFrame(pa.table({"piece": pa.array(ranks, pa.binary())}))
+    words = words.join(F.broadcast(whole), F.col("word") == F.col("piece"), "left_anti")  # pieces are their own ids
+    folded, _ = materialize(words.select("word", encode_words(F.array("word"), pairs)[0].alias("ids")), "head")
+    found = folded.toArrow()  # at most `head` words of HEAD_BYTES and as many ids
+    ids = found.column("ids").combine_chunks()
+    sizes = np.asarray(ids.value_lengths(), dtype=np.int64) if len(found) else np.empty(0, dtype=np.int64)
+    flat = np.asarray(ids.flatten(), dtype="<u4") if len(found) else np.empty(0, dtype="<u4")
+    table = _sorted_words(
+        [*ranks, *found.column("word").to_pylist()], np.concatenate([np.array(list(ranks.values()), dtype="<u4"), flat]), np.concatenate([np.ones(len(ranks), dtype=np.int64), sizes])
+    )
+    sent, key = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def look_up(batches):
-        split, words = splitter(pattern), _dictionary(sent, key)
+        h1, h2, ends, flat = _known(sent, key)
         for batch in batches:
-            words.start()
-            ids = [b"".join(map(words.__getitem__, split(x.as_py() or ""))) for x in batch.column(1)]
-            absent = [[w.encode() for w in words.absent]] + [None] * (len(ids) - 1)
-            words.start()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(absent[: len(ids)], pa.list_(pa.binary()))], names=["doc_id", "ids", "absent"])
+            for k in range(batch.num_rows):
+                words = batch.column(3)[k].values
+                a, b = _hashes(*_word_buffers(words))
+                at = np.minimum(np.searchsorted(h1, a), len(h1) - 1)
+                there = (h1[at] == a) & (h2[at] == b)
+                place = np.where(there, at, -1).astype("<i8")
+                absent = words.filter(pa.array(~there))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(k, 1) for c in batch.columns[:3]), pa.array([place.tobytes()], pa.binary()), pa.array([absent.to_pylist()], pa.list_(pa.binary()))], names=["doc_ids", "sizes", "codes", "place", "absent"]
+                )
 
     names = ["doc_id", *[f[0] for f in result.fields]]
+    kinds = [pa.int64(), *[f[2] for f in result.fields]]
 
     def fill(batches):
-        sizes = starts = flat = np.empty(0, dtype=np.int64)
+        _, _, ends, flat = _known(sent, key)
         for batch in batches:
-            out = []
-            for ids, folded in zip(batch.column(1), batch.column(2), strict=True):
-                if folded.is_valid:  # the first row of a look_up batch brings the words of all its rows
-                    inner = folded.values
-                    sizes = np.asarray(inner.value_lengths(), dtype=np.int64)
-                    starts, flat = np.cumsum(sizes) - sizes, np.asarray(inner.flatten(), dtype="<u4")
-                out.append(_filled(np.frombuffer(ids.as_buffer(), dtype="<u4"), sizes, starts, flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *result.columns(out)], names=names)
-
-    split_up = texts.mapInArrow(look_up, "doc_id long, ids binary, absent array<binary>")
-    folded = split_up.select("doc_id", "ids", encode_words(F.col("absent"), ranks).alias("folded"))
-    return folded.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
+            for k in range(batch.num_rows):
+                place = np.frombuffer(batch.column(3)[k].as_py(), dtype="<i8")
+                inner = batch.column(4)[k].values
+                sizes = np.asarray(inner.value_lengths(), dtype=np.int64) if len(inner) else np.empty(0, dtype=np.int64)
+                own = np.asarray(inner.flatten(), dtype="<u4") if len(inner) else np.empty(0, dtype="<u4")
+                there = place >= 0
+                n, start = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+                n[there] = ends[place[there]] - np.where(place[there] > 0, ends[place[there] - 1], 0)
+                start[there] = ends[place[there]] - n[there]
+                n[~there], start[~there] = sizes, len(flat) + np.cumsum(sizes) - sizes
+                stop = np.cumsum(n)
+                every = np.concatenate([flat, own])[np.repeat(start - (stop - n), n) + np.arange(int(n.sum()))]
+                result.words(every, stop.tolist())
+                codes = np.frombuffer(batch.column(2)[k].as_py(), dtype="<u4")
+                ids, counts = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                at, rows = 0, []
+                for doc_id, count in zip(ids, counts, strict=True):
+                    rows.append((doc_id, *result.document(codes[at : at + count].tolist())))
+                    at += count
+                    if len(rows) >= rows_out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    looked = blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<int>, codes binary, place binary, absent array<binary>")
+    done = looked.select("doc_ids", "sizes", "codes", "place", encode_words(F.col("absent"), pairs).alias("folded"))
+    return done.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
 
 
 def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:

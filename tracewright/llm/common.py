@@ -23,15 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str = "t") -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, tag: str = "t", **options: str) -> tuple[DataFrame, str]:
     """Write df as Parquet under the shared folder and read it back.
 
     The table cuts the lineage: a lost executor re-reads files instead of replaying the plan.
-    Returns the reread frame and the path, for drop_table().
+    Returns the reread frame and the path, for drop_table(); options go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tw-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

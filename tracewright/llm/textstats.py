@@ -24,6 +24,7 @@ _rng = np.random.default_rng(20240607)
 _BASE = np.uint64(int(_rng.integers(1 << 62)) * 2 + 1)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_OTHER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -53,18 +54,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes [first, last) of each span; `other` is a second, independent one."""
+    _Tables.upto(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((_OTHER if other else _VALUE)[data] * _Tables.up[: len(data)], out=prefix[1:])
+    return mix((prefix[last] - prefix[first]) * _Tables.down[first] + (last - first).astype(np.uint64))
+
+
 def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     """A 64-bit hash of each window of `size` consecutive words (none if there are fewer)."""
     if len(words) < size:
         return np.empty(0, dtype=np.uint64)
     data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    _Tables.upto(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * _Tables.up[: len(data)], out=prefix[1:])
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     first, last = starts[: len(words) - size + 1], ends[size - 1 :]
-    return mix((prefix[last] - prefix[first]) * _Tables.down[first] + (last - first).astype(np.uint64))
+    return span_hashes(data, first, last)
 
 
 def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
