@@ -264,9 +264,9 @@ def frequent_words(blocks: DataFrame, most: int = HEAD, longest: int = HEAD_BYTE
     return counts.where(F.lit(False) if cut is None else F.col("step") >= cut).select("word")
 
 
-def _sorted_words(words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_words(words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, second hash, ends of ids, ids), by hash."""
-    h1, h2 = _hashes(np.frombuffer(b"".join(words), dtype=np.uint8), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    h1, h2 = _hashes(*_word_buffers(words))
     order = np.argsort(h1, kind="stable")
     starts, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
     ends = np.cumsum(n)
@@ -274,10 +274,15 @@ def _sorted_words(words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> tup
     return h1[order], h2[order], ends.astype(np.int64), flat.astype("<u4")
 
 
-def _hashes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    last = np.cumsum(sizes)
-    h1 = span_hashes(data, last - sizes, last)
-    return h1, span_hashes(data, last - sizes, last, other=True)
+def _hashes(data: np.ndarray, sizes: np.ndarray, rows: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word; some rows at a time, as the sums take many times the room of the words."""
+    ends, out = np.concatenate([[0], np.cumsum(sizes)]), np.empty((2, len(sizes)), dtype=np.uint64)
+    for s in range(0, len(sizes), rows):
+        cut = ends[s : s + rows + 1] - ends[s]
+        part = data[ends[s] : ends[s] + cut[-1]]
+        for k in (0, 1):
+            out[k, s : s + rows] = span_hashes(part, cut[:-1], cut[1:], other=k == 1)
+    return out[0], out[1]
 
 
 #: The table of the last broadcast used, kept while a worker serves other functions in between.
@@ -351,7 +356,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     sizes = np.asarray(ids.value_lengths(), dtype=np.int64) if len(found) else np.empty(0, dtype=np.int64)
     flat = np.asarray(ids.flatten(), dtype="<u4") if len(found) else np.empty(0, dtype="<u4")
     table = _sorted_words(
-        [*ranks, *found.column("word").to_pylist()], np.concatenate([np.array(list(ranks.values()), dtype="<u4"), flat]), np.concatenate([np.ones(len(ranks), dtype=np.int64), sizes])
+        pa.concat_arrays([pa.array(ranks, pa.binary()), found.column("word").combine_chunks().cast(pa.binary())]), np.concatenate([np.array(list(ranks.values()), dtype="<u4"), flat]), np.concatenate([np.ones(len(ranks), dtype=np.int64), sizes])
     )
     sent, key = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
