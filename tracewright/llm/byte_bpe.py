@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, need
 from .textstats import span_hashes
 
-HEAD, HEAD_BYTES = 1_048_576, 40
+HEAD, HEAD_BYTES = 262_144, 40
 BLOCK_BYTES = 32 << 20
 LONG, PART = 256, 1024
 
@@ -268,9 +268,10 @@ def _sorted_words(words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> tuple[
     """(hash, second hash, ends of ids, ids), by hash."""
     h1, h2 = _hashes(*_word_buffers(words))
     order = np.argsort(h1, kind="stable")
-    starts, n = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    n = sizes[order]
     ends = np.cumsum(n)
-    flat = ids[np.repeat(starts - (ends - n), n) + np.arange(int(n.sum()))] if len(ids) else ids
+    shift = ((np.cumsum(sizes) - sizes)[order] - (ends - n)).astype(np.int32)  # ids of the sorted words, from where they stood
+    flat = ids[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)]
     return h1[order], h2[order], ends.astype(np.int64), flat.astype("<u4")
 
 
@@ -358,6 +359,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     table = _sorted_words(
         pa.concat_arrays([pa.array(ranks, pa.binary()), found.column("word").combine_chunks().cast(pa.binary())]), np.concatenate([np.array(list(ranks.values()), dtype="<u4"), flat]), np.concatenate([np.ones(len(ranks), dtype=np.int64), sizes])
     )
+    del found, ids, sizes, flat
     sent, key = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def look_up(batches):
