@@ -1,40 +1,72 @@
 """Zero-order-hold alignment, grids and nearest-sample lookups.
 
 The hold is one sort in time, in two passes: inside time buckets by a window, and across buckets by a table of
-one row per bucket. No task ever sorts a whole recording, and nothing is compared pairwise.
+one row per bucket. Buckets hold about equal numbers of rows, and there are more of them for more rows. No task ever sorts a whole recording, and nothing is compared pairwise.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .keys import TIME
 
-BUCKETS = 256
+#: Buckets at least, rows in a bucket at most (but for one cell's), and the cells of which buckets are made.
+BUCKETS, BUCKET_ROWS, CELLS = 256, 1_000_000, 16_384
 
 
-def _bucket(frame: DataFrame, time: str, buckets: int, ends: tuple[float, float] | None) -> DataFrame:
-    """Equal slices of the time range; its two ends are one aggregate row, if they aren't given. Rows beyond fall into the outer slices."""
-    low, high = ends or frame.where(~F.isnan(time)).agg(F.min(time), F.max(time)).first()
-    if low is None or not high > low:
-        return frame.withColumn("_bucket", F.lit(0))
-    at = F.floor((F.col(time) - F.lit(float(low))) / F.lit((high - low) / buckets))
-    return frame.withColumn("_bucket", F.greatest(F.least(at, F.lit(buckets - 1)), F.lit(0)).cast("int"))
+@dataclass(frozen=True)
+class Slices:
+    """Time buckets of about equal row counts: equal cells from `low` on, and the bucket of each."""
+
+    low: float
+    width: float
+    bucket_of: tuple[int, ...]
 
+    def column(self, time: str) -> Column:
+        """The bucket of a row; rows beyond the range fall into the outer ones."""
+        if len(self.bucket_of) == 1:
+            return F.lit(0)
+        cell = F.floor((F.col(time) - F.lit(self.low)) / F.lit(self.width))
+        cell = F.greatest(F.least(cell, F.lit(len(self.bucket_of) - 1)), F.lit(0)).cast("int")
+        return F.get(F.from_json(F.lit(json.dumps(self.bucket_of)), "array<int>"), cell)
 
-def hold(frame: DataFrame, columns: Sequence[str], time: str = "t_s", then: Sequence[str] = (), by: Sequence[str] = (), buckets: int = BUCKETS, ends: tuple[float, float] | None = None) -> DataFrame:
+
+def slices(frame: DataFrame, time: str = "t_s", buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> Slices:
+    """Slices by the rows of frame: their time range first, then a count of each cell (CELLS rows at most are gathered)."""
+    fine = frame.where(~F.isnan(time)).select(F.col(time).alias("_t"))
+    low, high, n = fine.agg(F.min("_t"), F.max("_t"), F.count(F.lit(1))).first()
+    if low is None or not high > low:
+        return Slices(0.0, 1.0, (0,))
+    cells = CELLS if n > buckets * 64 else buckets
+    cut = Slices(float(low), (high - low) / cells, tuple(range(cells)))
+    if cells == buckets:
+        return cut
+    cell = F.greatest(F.least(F.floor((F.col("_t") - F.lit(cut.low)) / F.lit(cut.width)), F.lit(cells - 1)), F.lit(0)).cast("int")
+    counts = {r["cell"]: r["n"] for r in fine.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    most, bucket, held, out = min(rows, -(-n // buckets)), 0, 0, []
+    for k in range(cells):
+        if held and held + counts.get(k, 0) > most:
+            bucket, held = bucket + 1, 0
+        held += counts.get(k, 0)
+        out.append(bucket)
+    return Slices(cut.low, cut.width, tuple(out))
+
+
+def hold(frame: DataFrame, columns: Sequence[str], time: str = "t_s", then: Sequence[str] = (), by: Sequence[str] = (), buckets: int = BUCKETS, cut: Slices | None = None) -> DataFrame:
     """frame with each of `columns` replaced by its last non-NULL value at or before the row.
 
-    `ends` is the known range of time, which saves a pass over an expensive frame.
+    `cut` are the buckets, say by the rows that an expensive frame is made of; any buckets give the same result.
     Rows are ordered by time, then `then`; `by` names keys (say, of recordings) that are held apart. NaN is a value
     and is held; rows before the first value stay NULL.
     """
     order = [time, *then]
-    sliced = _bucket(frame, time, buckets, ends)
+    sliced = frame.withColumn("_bucket", (cut or slices(frame, time, buckets)).column(time))
     up_to = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = sliced.groupBy(*by, "_bucket").agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_l{k}") for k, c in enumerate(columns)])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
@@ -42,7 +74,7 @@ def hold(frame: DataFrame, columns: Sequence[str], time: str = "t_s", then: Sequ
     on = F.col("_bucket") == F.col("_b")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    carried = carried if by else F.broadcast(carried)  # without keys at most `buckets` rows
+    carried = carried if by else F.broadcast(carried)  # without keys a row for each bucket, CELLS at most
     joined = sliced.join(carried, on, "left")
     kept = [c for c in frame.columns if c not in columns]
     return joined.select(*kept, *[F.coalesce(F.last(F.col(c), True).over(up_to), F.col(f"_c{k}.v")).alias(c) for k, c in enumerate(columns)])
@@ -77,7 +109,7 @@ def wide(samples: DataFrame, keys: Sequence[str], values: Sequence[str] = ("valu
 
 def aligned(samples: DataFrame, keys: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """(t_s, s0, s1, ...): every key's held value on the union of their times, from the latest first sample on."""
-    held = hold(wide(samples, keys, by=by), [f"s{i}" for i in range(len(keys))], by=by, buckets=buckets, ends=time_bounds(samples))
+    held = hold(wide(samples, keys, by=by), [f"s{i}" for i in range(len(keys))], by=by, buckets=buckets, cut=slices(samples.where(F.col("signal_key").isin(list(keys))), buckets=buckets))
     for i in range(len(keys)):
         held = held.where(F.col(f"s{i}").isNotNull())
     return held.select(*by, "t_s", *[F.col(f"s{i}.value").alias(f"s{i}") for i in range(len(keys))])
@@ -119,7 +151,7 @@ def on_grid(samples: DataFrame, keys: Sequence[str], grid: DataFrame, value: Col
     table = wide(shown, keys, ["_shown"]).withColumn("_n", F.lit(0).cast("long"))
     points = grid.groupBy(F.col("t_s")).agg(F.count(F.lit(1)).alias("_n"))
     both = table.unionByName(points, allowMissingColumns=True)
-    held = hold(both, [f"s{i}" for i in range(len(keys))], then=["_n"], buckets=buckets, ends=time_bounds(samples)).where("_n > 0")
+    held = hold(both, [f"s{i}" for i in range(len(keys))], then=["_n"], buckets=buckets, cut=slices(samples.where(F.col("signal_key").isin(list(keys))), buckets=buckets)).where("_n > 0")
     rows = held.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return rows.select("t_s", *[F.col(f"s{i}._shown").alias(k) for i, k in enumerate(keys)])
 

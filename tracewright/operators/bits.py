@@ -71,3 +71,30 @@ def float_of_bits(raw: Column, length: Column) -> Column:
         return sign * F.when(exponent == 0, small).when(exponent == top, special).otherwise(normal)
 
     return F.when(length == 16, of(5, 10)).when(length == 32, of(8, 23)).when(length == 64, of(11, 52)).otherwise(F.lit(NAN))
+
+
+def bits_of_float(value: Column, length: Column) -> Column:
+    """The bits of the IEEE half, single or double nearest to the value (ties to even); NULL where it is too large.
+
+    Every step is exact in float64: the value is scaled by powers of two until its last kept bit is 1.
+    """
+
+    def of(exponent_bits: int, mantissa_bits: int) -> Column:
+        bias = (1 << (exponent_bits - 1)) - 1
+        size = F.abs(value)
+        guess = F.floor(F.log2(F.greatest(size, F.lit(5e-324)))).cast("int")
+        two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+        # the logarithm may be off by one near powers of two, and a power below 2^-1022 loses bits: two halves
+        times = lambda x, e: x * two(F.floor(e / 2)) * two(e - F.floor(e / 2))
+        high = F.when(times(size, -guess) >= 2, guess + 1).when(times(size, -guess) < 1, guess - 1).otherwise(guess)
+        exponent = F.greatest(high, F.lit(1 - bias))
+        scaled = F.rint(times(size, F.lit(mantissa_bits) - exponent)).cast("bigint")  # with the leading one, if normal
+        hidden = F.lit(1 << mantissa_bits).cast("bigint")
+        # the leading one of a normal number carries into the exponent field, and so does rounding up
+        field = F.shiftleft((exponent + bias - 1).cast("bigint"), mantissa_bits) + scaled
+        whole = F.when(size == 0, F.lit(0).cast("bigint")).when(scaled < hidden, scaled).otherwise(field)
+        top = F.lit(((1 << exponent_bits) - 1) << mantissa_bits).cast("bigint")
+        sign = F.when((value < 0) | (F.signum(value).cast("string") == "-0.0"), F.shiftleft(F.lit(1).cast("bigint"), exponent_bits + mantissa_bits)).otherwise(F.lit(0).cast("bigint"))
+        return F.when(whole < top, whole.bitwiseOR(sign))
+
+    return F.when(length == 16, of(5, 10)).when(length == 32, of(8, 23)).when(length == 64, of(11, 52))

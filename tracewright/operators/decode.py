@@ -25,47 +25,51 @@ def sender(arb_id: Column) -> Column:
     return arb_id.bitwiseAND(F.lit(255).cast("bigint"))
 
 
+def extended(frames: DataFrame) -> Column:
+    """Whether a frame has a 29-bit identifier: marked so, or too large for 11 bits."""
+    marked = F.coalesce("is_extended", F.lit(False)) if "is_extended" in frames.columns else F.lit(False)
+    return marked | (F.col("arb_id") > 0x7FF)
+
+
 def decodable(frames: DataFrame) -> DataFrame:
     return frames.where(~F.coalesce("is_error", F.lit(False)) & ~F.coalesce("is_remote", F.lit(False)))
 
 
 def candidates(frames: DataFrame, messages: DataFrame, config: DataFrame) -> DataFrame:
-    """(bus, channel, arb_id, db_id, ord, name, length, rank): the messages of each distinct identifier, best first.
+    """(bus, channel, arb_id, is_extended, db_id, ord, name, length, rank): the messages of each distinct identifier, best first.
 
-    A channel's own database counts, else its bus's. Exact identifiers of the same kind come first; an extended one
-    without a match goes by its parameter group, with the sender if the group stands under several senders.
+    A channel's own database counts, else its bus's. Exact identifiers of the same kind come first; those of an
+    extended one's parameter group follow, with the sender if the group stands under several senders.
     """
-    ids = decodable(frames).select("bus", "channel", "arb_id").distinct()
+    ids = decodable(frames).select("bus", "channel", "arb_id", extended(frames).alias("_ext")).distinct()
     own = config.where("channel > 0").select(F.col("bus").alias("_b"), F.col("channel").alias("_c"), F.col("db_id").alias("_own"))
     whole = config.where("channel = 0").select(F.col("bus").alias("_wb"), F.col("db_id").alias("_whole"))
     ids = ids.join(F.broadcast(own), (F.col("bus") == F.col("_b")) & (F.col("channel") == F.col("_c")), "left").join(F.broadcast(whole), F.col("bus") == F.col("_wb"), "left")
-    ids = ids.select("bus", "channel", "arb_id", F.coalesce("_own", "_whole").alias("_db"), (F.col("arb_id") > 0x7FF).alias("_ext"), pgn(F.col("arb_id")).cast("int").alias("_pgn"), sender(F.col("arb_id")).cast("int").alias("_sa"))
+    ids = ids.select("bus", "channel", "arb_id", F.coalesce("_own", "_whole").alias("_db"), "_ext", pgn(F.col("arb_id")).cast("int").alias("_pgn"), sender(F.col("arb_id")).cast("int").alias("_sa"))
     senders = messages.where("is_extended").groupBy(F.col("db_id").alias("_sdb"), F.col("pgn").alias("_spgn")).agg(F.count_distinct("sa").alias("senders"))
     known = messages.join(F.broadcast(senders), (F.col("db_id") == F.col("_sdb")) & (F.col("pgn") == F.col("_spgn")), "left").drop("_sdb", "_spgn")
     exact = (F.col("frame_id") == F.col("arb_id")) & (F.col("is_extended") == F.col("_ext"))
-    group = F.col("_ext") & F.col("is_extended") & (F.col("pgn") == F.col("_pgn")) & ((F.col("senders") <= 1) | (F.col("sa") == F.col("_sa")))
+    group = F.col("_ext") & (F.col("arb_id") > 0x7FF) & F.col("is_extended") & (F.col("frame_id") > 0x7FF) & (F.col("pgn") == F.col("_pgn")) & ((F.col("senders") <= 1) | (F.col("sa") == F.col("_sa")))
     found = ids.join(F.broadcast(known), (F.col("_db") == F.col("db_id")) & (exact | group))
     found = found.withColumn("_far", F.when(exact, 0).otherwise(1))
-    best = Window.partitionBy("bus", "channel", "arb_id")
-    found = found.withColumn("_least", F.min("_far").over(best)).where("_far = _least")
-    rank = F.row_number().over(best.orderBy("ord"))
-    return found.select("bus", "channel", "arb_id", "db_id", "ord", "name", "length", rank.alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("bus", "channel", "arb_id", "_ext").orderBy("_far", "ord"))
+    return found.select("bus", "channel", "arb_id", F.col("_ext").alias("is_extended"), "db_id", "ord", "name", "length", rank.alias("rank"))
 
 
 def named(resolved: DataFrame) -> DataFrame:
     """resolved with message: the name, and [SA 0xNN] where extended identifiers of several senders share it."""
-    several = F.size(F.collect_set(F.when(F.col("arb_id") > 0x7FF, sender(F.col("arb_id")))).over(Window.partitionBy("bus", "channel", "db_id", "ord"))) > 1
-    split = several & (F.col("arb_id") > 0x7FF)
+    several = F.size(F.collect_set(F.when(F.col("is_extended"), sender(F.col("arb_id")))).over(Window.partitionBy("bus", "channel", "db_id", "ord"))) > 1
+    split = several & F.col("is_extended")
     return resolved.withColumn("message", F.when(split, F.format_string("%s [SA 0x%02X]", "name", sender(F.col("arb_id")))).otherwise(F.col("name"))).withColumn("split", split)
 
 
 def bind(frames: DataFrame, messages: DataFrame, config: DataFrame) -> DataFrame:
     """frames with their message (db_id, ord, message, message_id, message_length); unmatched ones have NULLs."""
     found = named(candidates(frames, messages, config).where("rank = 1")).select(
-        F.col("bus").alias("_b"), F.col("channel").alias("_c"), F.col("arb_id").alias("_a"), "db_id", "ord", "message", F.col("length").alias("message_length"),
+        F.col("bus").alias("_b"), F.col("channel").alias("_c"), F.col("arb_id").alias("_a"), F.col("is_extended").alias("_x"), "db_id", "ord", "message", F.col("length").alias("message_length"),
     )
-    on = (F.col("bus") == F.col("_b")) & F.col("channel").eqNullSafe(F.col("_c")) & (F.col("arb_id") == F.col("_a"))
-    return frames.join(F.broadcast(found), on, "left").drop("_b", "_c", "_a")
+    on = (F.col("bus") == F.col("_b")) & F.col("channel").eqNullSafe(F.col("_c")) & (F.col("arb_id") == F.col("_a")) & (extended(frames) == F.col("_x"))
+    return frames.join(F.broadcast(found), on, "left").drop("_b", "_c", "_a", "_x")
 
 
 def raw_to_physical(raw: Column, length: Column, signed: Column, is_float: Column, scale: Column, offset: Column) -> Column:
@@ -85,7 +89,7 @@ def decode(frames: DataFrame, messages: DataFrame, signals: DataFrame, config: D
     s = signals.select("db_id", "ord", "signal", "place", "first", F.col("length").alias("len"), "big", "signed", "is_float", "scale", "offset", "unit", "needed", "branches", "choices")
     rows = prepared.join(F.broadcast(s), (F.col("_db") == F.col("db_id")) & (F.col("_ord") == F.col("ord")))
     inside = bits.field_sql("_le", "_be", "b.first", "b.length", "b.big", "b.signed")
-    rows = rows.where(F.expr(f"_size >= needed and forall(branches, b -> _size >= b.needed and array_contains(b.ids, {inside}))"))
+    rows = rows.where(F.expr(f"_size >= needed and forall(branches, b -> _size >= b.needed and (array_contains(b.ids, {inside}) or exists(b.ranges, r -> {inside} between r.low and r.high)))"))
     rows = rows.withColumn("raw", F.expr(bits.field_sql("_le", "_be", "first", "len", "big", "signed")))
     value = raw_to_physical(F.col("raw"), F.col("len"), F.col("signed"), F.col("is_float"), F.col("scale"), F.col("offset"))
     label = F.when(~F.col("is_float"), F.get(F.filter(F.map_entries("choices"), lambda e: e["key"] == F.col("raw")), 0)["value"])
@@ -150,11 +154,11 @@ def match_scores(frames: DataFrame, messages: DataFrame) -> DataFrame:
 
     Exact identifiers count first, then parameter groups of the rest; on LIN the frame length must be equal too.
     """
-    ids = decodable(frames).groupBy("bus", "channel", "arb_id").agg(F.max_by("dlc", "frame_idx").alias("dlc"))
+    ids = decodable(frames).withColumn("_ext", extended(frames)).groupBy("bus", "channel", "arb_id", "_ext").agg(F.max_by("dlc", "frame_idx").alias("dlc"))
     total = ids.groupBy("bus", "channel").agg(F.count(F.lit(1)).alias("ids"))
     ids = ids.withColumn("_p", F.when(F.col("arb_id") > 0x7FF, pgn(F.col("arb_id"))))
-    exact = (F.col("frame_id") == F.col("arb_id")) & (F.col("is_extended") == (F.col("arb_id") > 0x7FF)) & ((F.col("bus") != "LIN") | (F.col("dlc") == F.col("length")))
-    group = F.col("is_extended") & (F.col("pgn") == F.col("_p")) & (F.col("bus") != "LIN")
-    hits = ids.join(F.broadcast(messages), exact | group).groupBy("db_id", "bus", "channel").agg(F.count_distinct("arb_id").alias("hits"))
+    exact = (F.col("frame_id") == F.col("arb_id")) & (F.col("is_extended") == F.col("_ext")) & ((F.col("bus") != "LIN") | (F.col("dlc") == F.col("length")))
+    group = F.col("is_extended") & (F.col("frame_id") > 0x7FF) & (F.col("pgn") == F.col("_p")) & (F.col("bus") != "LIN")
+    hits = ids.join(F.broadcast(messages), exact | group).groupBy("db_id", "bus", "channel").agg(F.count_distinct("arb_id", "_ext").alias("hits"))
     t = total.select(F.col("bus").alias("_b"), F.col("channel").alias("_c"), "ids")
     return hits.join(t, (F.col("bus") == F.col("_b")) & F.col("channel").eqNullSafe(F.col("_c"))).select("db_id", "bus", "channel", "ids", "hits", (100.0 * F.col("hits") / F.col("ids")).alias("percent"))

@@ -61,10 +61,13 @@ def search(frames: DataFrame, needle: str = "", bus: str | None = None, channel:
     out = frames
     if needle.strip():
         digits = _identifier_needle(needle.strip())
-        present = frames.agg(F.coalesce(F.bool_or(F.lower(F.hex("arb_id")) == F.lit(digits)), F.lit(False)).alias("id"), F.count(F.lit(1)).alias("n")).first()
-        match = field_match(needle, F.lit(bool(present["id"])), F.lit(data_limit is None or present["n"] <= data_limit))
-        any_field = frames.agg(F.coalesce(F.bool_or(match), F.lit(False)).alias("any")).first()["any"]
-        out = frames.where(match if any_field else F.instr(frame_text(F.col("name")), needle.strip().lower()) > 0)
+        with_data = F.lit(data_limit is None or frames.count() <= data_limit)
+        # one pass: whether the identifier is there, and whether any field answers if it is and if it isn't
+        matches = {known: field_match(needle, F.lit(known), with_data) for known in (True, False)}
+        ever = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+        present = frames.agg(ever(F.lower(F.hex("arb_id")) == F.lit(digits)).alias("id"), *[ever(m).alias(f"any_{known}") for known, m in matches.items()]).first()
+        known = bool(present["id"])
+        out = frames.where(matches[known] if present[f"any_{known}"] else F.instr(frame_text(F.col("name")), needle.strip().lower()) > 0)
     if bus is not None:
         out = out.where(F.col("bus") == bus)
     if channel is not None:

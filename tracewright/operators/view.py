@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bits
+
 #: Fixed value: a display may leave series of more samples without corners.
 STEP_POINTS = 100_000
 
@@ -44,14 +46,28 @@ def raw_hex(value: Column, scale: Column, offset: Column, length: Column, signed
     """0x... of a physical value's raw bits; '' where it is no raw step or out of range."""
     raw = (value - offset) / scale
     near = F.rint(raw)
-    whole = ~F.isnan(value) & (F.abs(raw - near) <= F.lit(1e-6) * F.greatest(F.lit(1.0), F.abs(near))) & (F.abs(near) < F.lit(2.0**63))
+    whole = ~F.isnan(value) & (F.abs(raw - near) <= F.lit(1e-6) * F.greatest(F.lit(1.0), F.abs(near))) & (F.abs(near) < F.lit(2.0**64))
     low = F.when(signed, -F.pow(F.lit(2.0), (length - 1).cast("double"))).otherwise(F.lit(0.0))
     high = F.pow(F.lit(2.0), F.when(signed, length - 1).otherwise(length).cast("double")) - 1
-    number = F.when(whole & near.between(low, high), near).cast("bigint")
+    held = F.when(whole & near.between(low, high), near)
+    number = F.when(held >= 2.0**63, held - 2.0**64).otherwise(held).cast("bigint")  # the same 64 bits
     mask = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (64 - length).cast("int"))
     digits = F.ceil(length / 4).cast("int")
     text = F.concat(F.lit("0x"), F.lpad(F.hex(number.bitwiseAND(mask)), digits, "0"))
-    return F.when(is_float | number.isNull(), F.lit("")).otherwise(text)
+    fine = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    pattern = F.when(fine, bits.bits_of_float(raw, length))
+    floating = F.concat(F.lit("0x"), F.lpad(F.hex(pattern), digits, "0"))
+    return F.coalesce(F.when(is_float, floating).when(number.isNotNull(), text), F.lit(""))
+
+
+def plain_hex(value: Column) -> Column:
+    """0x... of a whole value of a signal without a definition; '' for any other."""
+    size = F.abs(value)
+    whole = ~F.isnan(value) & (size < float("inf")) & (F.rint(value) == value)
+    # beyond 2^60 the 53 bits of the value stand before a whole number of zero digits and up to three zero bits
+    digits = F.greatest(F.ceil((F.floor(F.log2(F.greatest(size, F.lit(1.0)))) - 58) / 4), F.lit(0)).cast("int")
+    head = (size / F.pow(F.lit(16.0), digits.cast("double"))).cast("bigint")
+    return F.when(whole, F.concat(F.when(value < 0, "-0x").otherwise("0x"), F.hex(head), F.repeat(F.lit("0"), digits))).otherwise("")
 
 
 def raw_range(length: Column, signed: Column) -> tuple[Column, Column]:

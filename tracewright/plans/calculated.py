@@ -13,6 +13,7 @@ from ..functions import ieee
 from ..functions.formula import FormulaError, compile_formula, parse, references_of, rename_reference, validate_name
 from ..operators import align, temporal
 from ..operators.keys import GENERATED, TIME, generated_key
+from .durable import written
 
 #: Bytes a sample costs in the size estimate, and the points from which to warn.
 BYTES_PER_POINT, TIME_ONLY_BYTES, WARN_POINTS = 64, 24, 5_000_000
@@ -35,7 +36,7 @@ def calculate(samples: DataFrame, formula: str, available: Iterable[str] | None
     table = align.wide(source, keys, ["value", *held_columns], by)
     lasts = [c.reference for c in calls if c.function == "integral"]
     names = [f"s{i}" for i in range(len(keys))]
-    held = align.hold(table, names, by=by, buckets=buckets, ends=align.time_bounds(samples))
+    held = align.hold(table, names, by=by, buckets=buckets, cut=align.slices(source, buckets=buckets))
     for name in names:
         held = held.where(F.col(name).isNotNull())
     for ref in dict.fromkeys(lasts):
@@ -156,11 +157,14 @@ class Registry:
         return [d for d in self.order() if d.key in wanted]
 
     def calculate(self, samples: DataFrame, name: str, **how) -> DataFrame:
-        """samples of the named signal; prerequisites become part of its plan."""
+        """samples of the named signal. Each prerequisite is written once, so the work grows with their number, not with its power."""
         base = samples.select("signal_key", F.col("seq").cast("long").alias("seq"), "t_s", "value")
         out = None
-        for d in self.needed(name):
+        needed = self.needed(name)
+        for d in needed:
             out = as_samples(calculate(base, d.formula, **how), d.name, d.unit)
+            if d is not needed[-1]:
+                out = written(out, "calculated")
             base = base.unionByName(out.select("signal_key", "seq", "t_s", "value"))
         if out is None:
             raise FormulaError(f"Calculated signal not found: {name}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align
+from ..sources.trc import FD_LENGTHS
 
 #: Rows that a worksheet holds, and that a displayed table view holds at most.
 EXCEL_ROWS, TABLE_ROWS = 1_048_575, 5_000_000
@@ -54,13 +55,21 @@ def general_format(value: Column, digits: int = 6) -> Column:
     return F.when(value == 0, F.lit("0")).otherwise(out)
 
 
+@dataclass(frozen=True)
+class UnionTimes:
+    """The grid of all the signals' times."""
+
+    def grid(self, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return align.union_grid(samples, keys)
+
+
 def _headings(keys: Sequence[str]) -> list[str]:
     """The signal's name, or the whole key where two signals share a name."""
     names = [k.rpartition("::")[2] for k in keys]
     return [k if names.count(n) > 1 else n for k, n in zip(keys, names, strict=True)]
 
 
-def wide_table(samples: DataFrame, keys: Sequence[str], timebase: Timebase) -> DataFrame:
+def wide_table(samples: DataFrame, keys: Sequence[str], timebase: Timebase | UnionTimes) -> DataFrame:
     """Time and a text column per signal: the label, else the number; NULL before the first sample."""
     label = F.when(F.coalesce("label", F.lit("")) != "", F.col("label")) if "label" in samples.columns else F.lit(None)
     shown = F.coalesce(label, F.when(~F.isnan("value"), F.col("value").cast("string")))
@@ -101,8 +110,9 @@ class ConvertJob:
     raster: float | None = None
 
     #: Families of suffixes and what each can be written as.
-    RAW = (".asc", ".blf", ".trc", ".log")
-    DECODED = (".csv", ".parquet", ".mf4", ".mdf")
+    RAW = (".asc", ".blf", ".trc")
+    RAW_OUT = (".asc", ".trc", ".csv", ".parquet")
+    DECODED_OUT = (".csv", ".parquet", ".mf4")
 
     def validate(self) -> None:
         suffix = lambda p: os.path.splitext(p)[1].lower()
@@ -111,7 +121,7 @@ class ConvertJob:
         raw = [suffix(p) in self.RAW for p in self.inputs]
         if any(raw) and (not all(raw) or len({suffix(p) for p in self.inputs}) > 1):
             raise ValueError("All inputs must be of one format")
-        if suffix(self.output) not in (*self.RAW, ".csv", ".parquet"):
+        if suffix(self.output) not in (self.RAW_OUT if any(raw) else (*self.DECODED_OUT, *self.RAW_OUT)):
             raise ValueError(f"Unsupported output format: {suffix(self.output)}")
         if os.path.abspath(self.output) in map(os.path.abspath, self.inputs):
             raise ValueError("The output would overwrite an input")
@@ -123,6 +133,51 @@ class ConvertJob:
             raise ValueError("Signals can't be kept or resampled in raw recordings")
 
 
+def run_job(spark: SparkSession, job: ConvertJob) -> None:
+    """Read a job's inputs, convert and write them; a job that can't be done, or fails, leaves no output."""
+    from ..sources.recordings import read_recording
+
+    job.validate()
+    parts = [read_recording(spark, p) for p in job.inputs]
+    if len({p.kind for p in parts}) > 1:
+        raise ValueError("All inputs must be raw, or all decoded")
+    kind = os.path.splitext(job.output)[1].lower()
+    if parts[0].kind == "frames":
+        if job.keep or job.raster:
+            raise ValueError("Signals can't be kept or resampled in raw recordings")
+        convert_frames([p.frames for p in parts], job.output, job.start, job.end)
+        return
+    samples = convert_samples([p.samples for p in parts], job.keep, job.start, job.end, job.raster)
+    if kind == ".parquet":
+        write_safely(samples, job.output)
+    elif kind == ".csv":
+        keys = [r["signal_key"] for r in samples.select("signal_key").distinct().orderBy("signal_key").collect()]  # a recording's signals
+        write_safely(wide_table(samples, keys, UnionTimes()).orderBy("Time"), job.output, "csv", header=True, emptyValue="", nullValue="")
+    elif kind == ".mf4":
+        write_beside(lambda path: mdf_samples(samples, path), job.output)
+    else:
+        raise ValueError(f"Unsupported output format: {kind}")
+
+
+def mdf_samples(samples: DataFrame, path: str) -> None:
+    from ..sources.mdf import write_samples
+
+    named = samples if "message" in samples.columns else samples.select("*", F.split("signal_key", "::")[1].alias("message"), F.element_at(F.split("signal_key", "::"), -1).alias("signal"), F.lit("").alias("unit"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("label"))
+    write_samples(named, path)
+
+
+def write_beside(write, path: str) -> None:
+    """write(a path beside the target), then rename; for sinks that are one local file."""
+    beside = f"{path}.part-{uuid.uuid4().hex[:8]}"
+    try:
+        write(beside)
+        os.replace(beside, path)
+    except BaseException:
+        if os.path.exists(beside):
+            os.remove(beside)
+        raise
+
+
 def join_frames(parts: Sequence[DataFrame]) -> DataFrame:
     """Recordings one after the other: frame_idx is order by (file, frame), times as recorded."""
     out = None
@@ -195,7 +250,7 @@ def write_raw_csv(frames: DataFrame, path: str) -> None:
         F.col("t_s").alias("TimestampEpoch"), F.col("channel").alias("BusChannel"), F.hex("arb_id").alias("ID"), number("is_extended").alias("IDE"), F.col("dlc").alias("DLC"), F.octet_length("payload").alias("DataLength"),
         F.col("direction").alias("Dir"), number("is_fd").alias("EDL"), number("is_brs").alias("BRS"), F.lit("0").alias("ESI"), number("is_remote").alias("RTR"), F.hex("payload").alias("DataBytes"),
     )
-    table.write.option("sep", ";").csv(path, header=True)
+    write_safely(table, path, "csv", sep=";", header=True)
 
 
 def asc_lines(frames: DataFrame) -> DataFrame:
@@ -221,7 +276,21 @@ def write_asc(frames: DataFrame, path: str) -> None:
     spark = frames.sparkSession
     header = ["date Mon Jan 1 00:00:00 2024", "base hex  timestamps absolute", "internal events logged"]
     lines = spark.createDataFrame([(k - len(header), h) for k, h in enumerate(header)], "frame_idx long, value string").unionByName(asc_lines(frames))
-    lines.orderBy("frame_idx").coalesce(1).select("value").write.text(path)
+    write_safely(lines.orderBy("frame_idx").coalesce(1).select("value"), path, "text")
+
+
+def write_trc(frames: DataFrame, path: str) -> None:
+    """One trace text of version 2.1 in frame order, times in milliseconds; written by one task, which streams the sorted rows."""
+    header = [";$FILEVERSION=2.1", ";$STARTTIME=45292.0", ";$COLUMNS=N,O,T,B,I,d,R,L,D"]
+    way = F.when(F.col("direction") == "Tx", "Tx").otherwise("Rx")
+    size = F.octet_length("payload")
+    code = F.coalesce(*[F.when(size <= n, F.lit(k)) for k, n in enumerate(FD_LENGTHS)])
+    kind = F.when(F.col("is_error"), "ER").when(F.col("is_remote"), "RR").when(F.col("is_fd") & F.col("is_brs"), "FB").when(F.col("is_fd"), "FD").otherwise("DT")
+    ident = F.when(F.col("is_extended"), F.lpad(F.hex("arb_id"), 8, "0")).otherwise(F.lpad(F.hex("arb_id"), 4, "0"))
+    data = F.rtrim(F.regexp_replace(F.hex("payload"), "(..)", "$1 "))
+    line = F.concat_ws(" ", (F.col("frame_idx") + 1).cast("string"), F.format_string("%.6f", F.col("t_s") * 1000), kind, F.coalesce(F.col("channel").cast("string"), F.lit("1")), ident, way, F.lit("-"), F.when(F.col("is_fd"), code).otherwise(F.col("dlc")).cast("string"), data)
+    lines = frames.sparkSession.createDataFrame([(k - len(header), h) for k, h in enumerate(header)], "frame_idx long, value string").unionByName(frames.select("frame_idx", line.alias("value")))
+    write_safely(lines.orderBy("frame_idx").coalesce(1).select("value"), path, "text")
 
 
 def export_excel(table: DataFrame, path: str, most: int = EXCEL_ROWS) -> int:
@@ -254,12 +323,14 @@ def export_excel(table: DataFrame, path: str, most: int = EXCEL_ROWS) -> int:
 
 
 def convert_frames(parts: Sequence[DataFrame], output: str, start: float | None = None, end: float | None = None) -> None:
-    """Join and cut recordings, then write them as a text log, a raw table or Parquet by the output's suffix."""
+    """Join and cut recordings, then write them as a text log, a trace, a raw table or Parquet by the output's suffix."""
     joined = cut_frames(join_frames(parts), start, end)
     ordered = joined.withColumn("frame_idx", F.col("file_ord").cast("long") * F.lit(1 << 40) + F.col("frame_idx")).drop("file_ord")
     kind = os.path.splitext(output)[1].lower()
     if kind == ".asc":
         write_asc(ordered, output)
+    elif kind == ".trc":
+        write_trc(ordered, output)
     elif kind == ".csv":
         write_raw_csv(ordered, output)
     elif kind == ".parquet":

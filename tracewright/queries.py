@@ -394,6 +394,77 @@ def _raw_hex(spark, sf_dir):
     return samples.select("seq", view.raw_hex(F.col("value"), F.lit(0.01), F.lit(0.0), F.lit(16), F.lit(False), F.lit(False)).alias("raw"))
 
 
+@query("plain_hex", "select event_id as seq, case when value = floor(value) then '0x' || upper(printf('%x', cast(value as bigint))) else '' end as whole, '0x' || upper(printf('%x', event_id * 65536)) || '0000' as large from events")
+def _plain_hex(spark, sf_dir):
+    large = F.col("seq").cast("double") * 2.0**32
+    return samples_of(spark, sf_dir).select("seq", view.plain_hex(F.col("value")).alias("whole"), F.when(F.col("seq") > 0, view.plain_hex(large)).otherwise("0x00000").alias("large"))
+
+
+@query("raw_hex_float", "select event_id as seq, case when value is null then '' else '0x' || lpad(upper(printf('%x', cast(round(value * 4) as bigint))), 8, '0') end as raw from events")
+def _raw_hex_float(spark, sf_dir):
+    """The bits of a single, read back as a number: quarter steps are exact in it."""
+    quarters = F.round(F.col("value") * 4)
+    raw = view.raw_hex(quarters / 4, F.lit(1.0), F.lit(0.0), F.lit(32), F.lit(False), F.lit(True))
+    back = bits.float_of_bits(F.conv(F.substring(raw, 3, 8), 16, 10).cast("bigint"), F.lit(32)) * 4
+    return samples_of(spark, sf_dir).select("seq", F.when(raw == "", "").otherwise(F.concat(F.lit("0x"), F.lpad(F.hex(back.cast("bigint")), 8, "0"))).alias("raw"))
+
+
+def kinds_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of both identifier kinds: standard 0x100, extended 0x100, a group of a placeholder sender, a group of two senders."""
+    k = F.col("event_id") % 4
+    ident = F.when(k < 2, 0x100).when(k == 2, F.lit(0x18FECA00) + F.col("user_id") % 4).otherwise(F.lit(0x18FEF100) + F.col("user_id") % 3)
+    word = F.round(F.col("value") * 100).cast("bigint")
+    return events_of(spark, sf_dir).select(
+        F.col("event_id").alias("frame_idx"), "t_s", F.lit("CAN").alias("bus"), F.lit(1).alias("channel"), ident.cast("bigint").alias("arb_id"), (k > 0).alias("is_extended"), F.lit(False).alias("is_error"), F.lit(False).alias("is_remote"),
+        F.lit(8).alias("dlc"), F.lit("Rx").alias("direction"), F.unhex(F.lpad(F.hex(bits.swap(word)), 16, "0")).alias("payload"),
+    )
+
+
+def kinds_database() -> Database:
+    message = lambda ident, name, wide: Message(ident, name, 8, wide, [Signal("V", 0, 16, scale=0.01)])
+    return Database([message(0x100, "Std", False), message(0x100, "Ext", True), message(0x18FECAFE, "DM", True), message(0x18FEF101, "One", True), message(0x18FEF102, "Two", True)])
+
+
+@query("decode_identifiers", """select 'CH1::' || case when event_id % 4 = 0 then 'Std' when event_id % 4 = 1 then 'Ext' when event_id % 4 = 2 then 'DM [SA 0x0' || (user_id % 4) || ']' when user_id % 3 = 1 then 'One' else 'Two' end || '::V' as signal_key,
+event_id as seq, round(round(value * 100) / 100, 4) as value from events where event_id % 4 <> 3 or user_id % 3 <> 0""")
+def _decode_kinds(spark, sf_dir):
+    messages, signals, _ = tables(spark, {"db": kinds_database()})
+    out = decode.decode(kinds_of(spark, sf_dir), messages, signals, channel_config(spark, {("CAN", 0): "db"}), words=1)
+    return _out(out.select("signal_key", "seq", "value"))
+
+
+@query("match_identifiers", """with f as (select case when event_id % 4 < 2 then event_id % 4 when event_id % 4 = 2 then 100 + user_id % 4 else 200 + user_id % 3 end as i, event_id % 4 <> 3 or user_id % 3 < 3 as known from events)
+select 'db' as db_id, 'CAN' as bus, 1 as channel, count(distinct i) as ids, count(distinct case when known then i end) as hits, round(100.0 * count(distinct case when known then i end) / count(distinct i), 6) as percent from f""")
+def _match_kinds(spark, sf_dir):
+    return decode.match_scores(kinds_of(spark, sf_dir), tables(spark, {"db": kinds_database()})[0]).withColumn("percent", F.round("percent", 6))
+
+
+@query("decode_long_frames", """with v as (select event_id as seq, 'CH1::Long::' as k, value as v, cast(json_extract_string(props, '$.k') as bigint) as x from events where value is not null)
+select * from (select k || 'Single' as signal_key, seq, round(cast(cast(v as float) as double), 4) as value from v union all select k || 'Double', seq, round(v, 4) from v
+union all select k || 'Wide', seq, cast(coalesce(x, 0) * 1000003 as double) from v union all select k || 'Branch', seq, cast(coalesce(x, 0) as double) from v where seq * 7919 % 100000 >= 70000)""")
+def _decode_long(spark, sf_dir):
+    """64-byte frames: a big-endian single in the last bytes, a double, a field over two words, a branch of a long multiplexer range."""
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0))
+    events = events_of(spark, sf_dir).withColumn("_v", F.coalesce("value", F.lit(ieee.NAN)))
+    hex_of = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    little = lambda x: hex_of(bits.swap(x), 16)
+    mux = F.col("event_id") * 7919 % 100000
+    wide = k * 1000003  # 40 bits from bit 40: bytes 5 to 9
+    first = little(F.shiftleft(wide, 40).bitwiseOR(mux))  # the multiplexer has 24 bits
+    second = little(F.shiftrightunsigned(wide, 24).bitwiseOR(F.shiftleft(k, 32)))
+    payload = F.concat(first, second, little(bits.bits_of_float(F.col("_v"), F.lit(64))), F.repeat(F.lit("00"), 36), hex_of(bits.bits_of_float(F.col("_v"), F.lit(32)), 8))
+    frames = events.where("value is not null").select(
+        F.col("event_id").alias("frame_idx"), "t_s", F.lit("CAN").alias("bus"), F.lit(1).alias("channel"), F.lit(0x300).cast("bigint").alias("arb_id"), F.lit(False).alias("is_extended"), F.lit(False).alias("is_error"), F.lit(False).alias("is_remote"),
+        F.lit(64).alias("dlc"), F.lit("Rx").alias("direction"), F.unhex(payload).alias("payload"),
+    )
+    layout = Message(0x300, "Long", 64, False, [
+        Signal("Mux", 0, 24, is_mux=True), Signal("Wide", 40, 40), Signal("Branch", 96, 8, mux_signal="Mux", mux_ranges=[(70000, 99999)]), Signal("Double", 128, 64, is_float=True), Signal("Single", 487, 32, big_endian=True, is_float=True),
+    ])
+    messages, signals, _ = tables(spark, {"db": Database([layout])})
+    out = decode.decode(frames, messages, signals, channel_config(spark, {("CAN", 0): "db"}))
+    return _out(out.where("signal <> 'Mux'").select("signal_key", "seq", "value"))
+
+
 @query("signal_properties")
 def _properties(spark, sf_dir):
     return view.signal_properties(tables_of(spark)[1], "db", "Msg3", "K")

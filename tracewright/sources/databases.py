@@ -9,6 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Longer ranges of multiplexer values are kept as ranges.
+LISTED = 256
+
+
 class DatabaseError(ValueError):
     """A database that can't be read."""
 
@@ -27,6 +31,7 @@ class Signal:
     is_mux: bool = False
     mux_signal: str | None = None
     mux_ids: list[int] = field(default_factory=list)
+    mux_ranges: list[tuple[int, int]] = field(default_factory=list)  # first and last value, beside mux_ids
     choices: dict[int, str] = field(default_factory=dict)
 
     @property
@@ -95,7 +100,9 @@ def parse_dbc(text: str) -> Database:
         message = messages.get(int(m[1]))
         if message and (s := message.signal(m[2])):
             s.mux_signal = m[3]
-            s.mux_ids = [v for a, b in re.findall(r"(\d+)\s*-\s*(\d+)", m[4]) for v in range(int(a), min(int(b), int(a) + 65535) + 1)]
+            spans = [(int(a), int(b)) for a, b in re.findall(r"(\d+)\s*-\s*(\d+)", m[4])]
+            s.mux_ids = [v for a, b in spans if b - a < LISTED for v in range(a, b + 1)]
+            s.mux_ranges = [(a, b) for a, b in spans if b - a >= LISTED]
     for m in re.finditer(r"^SIG_VALTYPE_\s+(\d+)\s+(\w+)\s*:?\s*([123])", joined, re.MULTILINE):
         message = messages.get(int(m[1]))
         if message and (s := message.signal(m[2])):
@@ -170,7 +177,7 @@ def pgn_of(frame_id: int) -> int:
     return kind << 8 if kind < 240 else kind << 8 | specific
 
 
-_BIT_FIELD = "struct<first:int,length:int,big:boolean,signed:boolean,needed:int,ids:array<bigint>>"
+_BIT_FIELD = "struct<first:int,length:int,big:boolean,signed:boolean,needed:int,ids:array<bigint>,ranges:array<struct<low:bigint,high:bigint>>>"
 MESSAGES = "db_id string, frame_id long, is_extended boolean, name string, length int, pgn int, sa int, ord int"
 SIGNALS = f"db_id string, ord int, frame_id long, message string, message_length int, signal string, place int, start_bit int, first int, length int, big boolean, signed boolean, is_float boolean, scale double, offset double, unit string, needed int, mux_signal string, mux_ids array<bigint>, branches array<{_BIT_FIELD}>, choices map<bigint,string>"
 
@@ -178,12 +185,12 @@ SIGNALS = f"db_id string, ord int, frame_id long, message string, message_length
 def _branches(message: Message, signal: Signal) -> list[tuple]:
     """The multiplexers above a signal, outermost last, with the values that open its branch."""
     out, seen = [], set()
-    while signal.mux_ids and signal.mux_signal and signal.mux_signal not in seen:
+    while (signal.mux_ids or signal.mux_ranges) and signal.mux_signal and signal.mux_signal not in seen:
         seen.add(signal.mux_signal)
         mux = message.signal(signal.mux_signal)
         if mux is None:
             break
-        out.append((mux.first_bit if mux.big_endian else mux.start, mux.length, mux.big_endian, mux.signed, mux.bytes_needed, signal.mux_ids))
+        out.append((mux.first_bit if mux.big_endian else mux.start, mux.length, mux.big_endian, mux.signed, mux.bytes_needed, signal.mux_ids, signal.mux_ranges))
         signal = mux
     return out
 
@@ -193,7 +200,8 @@ def tables(spark: SparkSession, databases: dict[str, Database]) -> tuple[DataFra
     messages, signals, choices = [], [], []
     for db, database in databases.items():
         for ord_, m in enumerate(database.messages):
-            messages.append((db, m.frame_id, m.extended, m.name, m.length, pgn_of(m.frame_id) if m.extended else None, m.frame_id & 255 if m.extended else None, ord_))
+            wide = m.extended or m.frame_id > 0x7FF
+            messages.append((db, m.frame_id, wide, m.name, m.length, pgn_of(m.frame_id) if wide else None, m.frame_id & 255 if wide else None, ord_))
             for place, s in enumerate(m.signals):
                 signals.append((db, ord_, m.frame_id, m.name, m.length, s.name, place, s.start, s.first_bit if s.big_endian else s.start, s.length, s.big_endian, s.signed, s.is_float, s.scale, s.offset,
                                 s.unit, s.bytes_needed, s.mux_signal, s.mux_ids, _branches(m, s), s.choices))

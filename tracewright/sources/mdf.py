@@ -2,7 +2,8 @@
 
 A file is read by one task: blocks are followed in memory and every channel becomes a numpy array. Supported are
 sorted and unsorted groups of fixed-length records, plain, listed and zipped data, whole and bit-packed integers,
-floats, texts and byte arrays, and the linear, rational, table and text conversions. Variable-length data is skipped.
+floats, texts and byte arrays, values of variable length in data blocks of their own, and the linear, rational, table
+and text conversions. read_warnings() tells what can't be read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ class MdfError(ValueError):
     """A file that is no readable MDF 4."""
 
 
+#: Groups of raw frames, and whether they hold data bytes.
+BUS_GROUPS = {"CAN_DataFrame": True, "LIN_Frame": True, "CAN_RemoteFrame": False, "CAN_ErrorFrame": False}
+#: Conversions that physical() knows: none, linear, rational, tables with and without interpolation, texts by value and by range.
+KNOWN_CONVERSIONS = {0, 1, 2, 4, 5, 7, 8}
+
+
 @dataclass
 class Channel:
     name: str
@@ -35,6 +42,7 @@ class Channel:
     bits: int
     conversion: dict | None
     parts: list[Channel] = field(default_factory=list)
+    data: int = 0  # where values of variable length stand
 
 
 @dataclass
@@ -44,6 +52,7 @@ class Group:
     cycles: int
     size: int
     channels: list[Channel]
+    flags: int = 0
 
 
 class Reader:
@@ -118,12 +127,34 @@ class Reader:
             kind, _, data_type, bit, byte, bits = struct.unpack_from("<BBBBII", self.data, start)
             conversion = self._conversion(links[4])
             parts = self._channels(links[1]) if links[1] and self._kind(links[1]) == b"CN" else []
-            out.append(Channel(self.text(links[2]), self.text(links[6]) or (conversion or {}).get("unit", ""), kind, data_type, bit, byte, bits, conversion, parts))
+            out.append(Channel(self.text(links[2]), self.text(links[6]) or (conversion or {}).get("unit", ""), kind, data_type, bit, byte, bits, conversion, parts, links[5]))
             at = links[0]
         return out
 
-    def groups(self) -> Iterator[tuple[Group, np.ndarray]]:
-        """(group, records as bytes, one row each). A damaged part ends the reading with a warning."""
+    def column(self, group: Group, c: Channel, records: np.ndarray):
+        """raw_values of a channel, also of variable length; a channel that can't be read gives None and a warning."""
+        try:
+            raw = self._variable(c, records) if c.kind == 1 else None if c.parts and c.data_type < 10 else raw_values(c, records)
+        except (MdfError, struct.error, zlib.error) as e:
+            raw = self.warnings.append(str(e))
+        if raw is None:
+            self.warnings.append(f"{group.name}: channel {c.name} can't be read")
+        elif c.conversion and c.conversion["kind"] not in KNOWN_CONVERSIONS:
+            self.warnings.append(f"{group.name}: channel {c.name} is raw, its conversion {c.conversion['kind']} isn't known")
+        return raw
+
+    def _variable(self, c: Channel, records: np.ndarray) -> list | None:
+        """The values that a channel's records point to: each is its length and its bytes."""
+        if not c.data or self._kind(c.data) == b"CG":
+            return None
+        starts = raw_values(Channel(c.name, "", 0, 0, c.bit_offset, c.byte_offset, c.bits, None, []), records)
+        stream = b"".join(self._data(c.data))
+        sizes = [struct.unpack_from("<I", stream, int(s))[0] for s in starts]
+        values = [stream[int(s) + 4 : int(s) + 4 + n] for s, n in zip(starts, sizes, strict=True)]
+        return values if c.data_type not in (6, 7) else [v.split(b"\0", 1)[0].decode("latin-1" if c.data_type == 6 else "utf-8", "replace").strip() for v in values]
+
+    def groups(self, records: bool = True) -> Iterator[tuple[Group, np.ndarray | None]]:
+        """(group, records as bytes, one row each, or None without them). A damaged part ends the reading with a warning."""
         try:
             at = self._block(64, b"HD")[0][0]
             while at:
@@ -131,12 +162,14 @@ class Reader:
                 id_size, found, cg = self.data[start], [], links[1]
                 while cg:
                     cl, cs, _ = self._block(cg, b"CG")
-                    record_id, cycles, _, _, _, size, invalid = struct.unpack_from("<QQHHIII", self.data, cs)
+                    record_id, cycles, flags, _, _, size, invalid = struct.unpack_from("<QQHHIII", self.data, cs)
                     name = self.text(cl[2]) or (self.text(self._block(cl[3], b"SI")[0][0]) if cl[3] else "")
-                    found.append(Group(name, record_id, cycles, size + invalid, self._channels(cl[1])))
+                    found.append(Group(name, record_id, cycles, size + invalid, self._channels(cl[1]), flags))
                     cg = cl[0]
-                stream = b"".join(self._data(links[2]))
-                yield from self._records(found, id_size, stream)
+                if records:
+                    yield from self._records(found, id_size, b"".join(self._data(links[2])))
+                else:
+                    yield from ((g, None) for g in found)
                 at = links[0]
         except (MdfError, struct.error, zlib.error) as e:
             self.warnings.append(str(e))
@@ -150,6 +183,9 @@ class Reader:
                 self.warnings.append(f"{g.name}: {g.cycles - n} records are missing")
             yield g, np.frombuffer(stream, np.uint8, n * wide).reshape(n, wide)[:, id_size:]
             return
+        if any(g.flags & 1 for g in groups):
+            self.warnings.append("records of variable length are not read")
+            return
         by_id, places, at = {g.record_id: g for g in groups}, {g.record_id: [] for g in groups}, 0
         while at + id_size <= len(stream):
             number = int.from_bytes(stream[at : at + id_size], "little")
@@ -243,13 +279,13 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                for k, (group, records) in enumerate(Reader(content.as_py()).groups()):
+                reader = Reader(content.as_py())
+                for k, (group, records) in enumerate(reader.groups()):
                     times = _times(group, records)
                     if times is None or not len(times):
                         continue
                     for c in group.channels:
-                        raw = None if c.kind in (2, 3) or c.parts or c.name.partition(".")[0] in ("CAN_DataFrame", "LIN_Frame") else raw_values(c, records)
-                        if raw is None:
+                        if c.kind in (2, 3) or c.name.partition(".")[0] in BUS_GROUPS or (raw := reader.column(group, c, records)) is None:
                             continue
                         values, labels = physical(c, raw)
                         n = len(values)
@@ -265,25 +301,29 @@ _FRAMES = [("t_s", pa.float64()), ("bus", pa.string()), ("channel", pa.int32()),
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """frames of raw bus groups (CAN_DataFrame, LIN_Frame), in time order; times since the first."""
+    """frames of raw bus groups (BUS_GROUPS: data, error and remote frames), in time order; times since the first."""
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 parts = []
-                for group, records in Reader(content.as_py()).groups():
+                reader = Reader(content.as_py())
+                for group, records in reader.groups():
                     times = _times(group, records)
                     flat = {c.name: c for top in group.channels for c in (top, *top.parts)}
-                    base = next((b for b in ("CAN_DataFrame", "LIN_Frame") if f"{b}.ID" in flat and f"{b}.DataBytes" in flat), None)
+                    base = next((b for b, has_data in BUS_GROUPS.items() if any(n.startswith(f"{b}.") for n in flat) and (not has_data or {f"{b}.ID", f"{b}.DataBytes"} <= flat.keys())), None)
                     if times is None or base is None or not len(times):
                         continue
+                    error, remote = base == "CAN_ErrorFrame", base == "CAN_RemoteFrame"
                     get = lambda name, otherwise=0: np.asarray(raw_values(flat[f"{base}.{name}"], records)).astype(np.int64) if f"{base}.{name}" in flat else np.full(len(records), otherwise)  # noqa: B023, E731
                     length = get("DataLength") if f"{base}.DataLength" in flat else get("DLC")
-                    data = raw_values(flat[f"{base}.DataBytes"], records)
+                    data = reader.column(group, flat[f"{base}.DataBytes"], records) if BUS_GROUPS[base] else [b""] * len(times)
+                    if data is None:
+                        continue
                     ident, way = get("ID"), get("Dir")
                     fd = get("EDL") != 0
                     extended = get("IDE") != 0 if f"{base}.IDE" in flat else ident > 0x7FF
-                    parts.append((times, ["CAN" if base[0] == "C" else "LIN"] * len(times), get("BusChannel", 1), ident & 0x1FFFFFFF, extended, fd, np.zeros(len(times), bool), np.zeros(len(times), bool), get("BRS") != 0, length, np.where(way == 1, "Tx", "Rx"), [d[:n] for d, n in zip(data, length.tolist(), strict=True)]))
+                    parts.append((times, ["CAN" if base[0] == "C" else "LIN"] * len(times), get("BusChannel", 1), ident & 0x1FFFFFFF, extended, fd, np.full(len(times), error), np.full(len(times), remote), get("BRS") != 0, np.where(error, 0, length), np.where(way == 1, "Tx", "Rx"), [d[:n] for d, n in zip(data, length.tolist(), strict=True)]))
                 if not parts:
                     continue
                 joined = [np.concatenate([np.asarray(p[k]) for p in parts]) if k < 11 else [x for p in parts for x in p[11]] for k in range(12)]
@@ -296,16 +336,46 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content(data: bytes) -> dict[str, bool]:
-    """What a file holds: raw_can, raw_lin, decoded; from block headers alone."""
+    """What a file holds: raw_can, raw_lin, decoded; records aren't read."""
     found = {"raw_can": False, "raw_lin": False, "decoded": False}
-    for group, _ in Reader(data).groups():
+    for group, _ in Reader(data).groups(records=False):
         names = {c.name.partition(".")[0] for c in group.channels if c.kind not in (2, 3)}
         found["raw_can"] |= "CAN_DataFrame" in names
         found["raw_lin"] |= "LIN_Frame" in names
-        found["decoded"] |= bool(names - {"CAN_DataFrame", "CAN_ErrorFrame", "CAN_RemoteFrame", "LIN_Frame"})
+        found["decoded"] |= bool(names - BUS_GROUPS.keys())
     return found
 
 
+def contents(spark: SparkSession, path: str) -> dict[str, bool]:
+    """content() over all files of the path."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                yield pa.RecordBatch.from_pylist([content(data.as_py())])
+
+    kinds = ("raw_can", "raw_lin", "decoded")
+    row = _files(spark, path).mapInArrow(run, ", ".join(f"{k} boolean" for k in kinds)).agg(*[F.bool_or(k).alias(k) for k in kinds]).first()
+    return {k: bool(row[k]) for k in kinds}
+
+
+def read_warnings(spark: SparkSession, path: str) -> DataFrame:
+    """(warning) of the files: damaged parts, and channels or conversions that can't be read."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                reader = Reader(data.as_py())
+                for group, records in reader.groups():
+                    for c in group.channels:
+                        for part in (c, *c.parts):
+                            if part.kind not in (2, 3) and not part.parts:
+                                reader.column(group, part, records)
+                yield pa.RecordBatch.from_arrays([pa.array(reader.warnings, pa.string())], names=["warning"])
+
+    return _files(spark, path).mapInArrow(run, "warning string")
+
+
 class Writer:
     """A plain MDF 4.10 file: one group per message, times and doubles, labels as value-to-text."""
 

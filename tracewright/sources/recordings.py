@@ -29,6 +29,7 @@ class Recording:
     frames: DataFrame | None = None
     samples: DataFrame | None = None
     status: DataFrame | None = None
+    warnings: DataFrame | None = None
 
 
 def suffix(path: str) -> str:
@@ -36,6 +37,9 @@ def suffix(path: str) -> str:
 
 
 def database_required(spark: SparkSession, path: str) -> bool:
+    if suffix(path) in MDF_FORMATS:
+        has = mdf.contents(spark, path)
+        return has["raw_can"] or has["raw_lin"]
     return suffix(path) in FRAME_FORMATS or (suffix(path) == ".csv" and csv_files.sniff(spark, path)[0] == "raw")
 
 
@@ -56,10 +60,13 @@ def read_recording(spark: SparkSession, path: str, databases: dict[tuple[str, in
     if kind == ".trc":
         return Recording("frames", frames=trc.read_frames(spark, path), status=trc.read_status(spark, path))
     if kind == ".blf":
-        return Recording("frames", frames=blf.read_frames(spark, path))
+        return Recording("frames", frames=blf.require_frames(blf.read_frames(spark, path)), warnings=blf.read_warnings(spark, path))
     if kind in MDF_FORMATS:
         frames, samples = mdf.read_frames(spark, path), mdf.read_samples(spark, path)
-        return Recording("frames", frames=frames, samples=samples) if frames.limit(1).count() else Recording("samples", samples=samples)
+        has, warnings = mdf.contents(spark, path), mdf.read_warnings(spark, path)
+        if has["raw_can"] or has["raw_lin"]:
+            return Recording("frames", frames=frames, samples=samples if has["decoded"] else None, warnings=warnings)
+        return Recording("samples", samples=samples, warnings=warnings)
     layout = csv_files.sniff(spark, path)[0]
     if layout == "raw":
         return Recording("frames", frames=csv_files.read_raw(spark, path))
@@ -88,7 +95,7 @@ def save_channel_config(path: str, config: dict[tuple[str, int], str]) -> None:
 
 
 def measurement_info(spark: SparkSession, path: str) -> DataFrame:
-    """(item, value) facts of a file's header, and its events for TRC."""
+    """(item, value) facts of a file's header; the events of a TRC file are read_status of its reader."""
     rows = [("File", os.path.basename(path)), ("Format", suffix(path).lstrip(".").upper())]
     if suffix(path) == ".trc":
         info = trc.header(spark, path)
