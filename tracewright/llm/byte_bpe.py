@@ -33,7 +33,7 @@ from .common import materialize, need
 from .textstats import span_hashes
 
 HEAD, HEAD_BYTES = 262_144, 40
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 LONG, PART = 256, 1024
 
 #: A token's integer: rank (ID bits), place (PLACE bits), id (ID bits), from the highest bit down.
