@@ -9,7 +9,8 @@ Pieces are numbered within their length in parallel (length x salt buckets with
 piece's number falls into exactly one slot range, which gives its sequence and offset.
 
 Defined results: a null text counts as empty and yields one piece holding only the end id; repeated
-rows are packed once per row; an empty table gives an empty result; null ids are kept as rows.
+rows are packed once per row; an empty table gives an empty result; null ids are kept as rows. Pieces of one
+length are ordered by id, piece, start and checksum, so rows that are alike in all of them are interchangeable.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ _UNSURE = re.compile("[^\\x00-ɏ‐-‧€]")
 
 
 class Encoder:
-    """Token ids of texts by the byte-level BPE of a tokenizers JSON file.
+    """Token ids of texts by the byte-level BPE of a tokenizers JSON file, as its library gives them without added ones.
+
+    A special token written out in a text is that token's id, as the library has it.
 
     The .tiktoken file of the same vocabulary gives the same ids several times faster; it is used for
     texts in the character range where both libraries split alike, if it is given.
@@ -44,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(json_path)
-        self.slow.encode_special_tokens = True
+        special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.fast = None
         if ranks_path:
             import public_tokenizers
@@ -55,7 +59,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _UNSURE.search(text):
+        if self.fast is not None and not _UNSURE.search(text) and not (self.special and self.special.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -214,7 +218,7 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT, salts: int = SALTS) -> Da
         .withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
         .select(F.col("length").alias("b_length"), F.col("_salt").alias("b_salt"), "_base")
     )  # at most limit x salts rows
-    numbered = salted.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")) - 1)
+    numbered = salted.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     numbered = numbered.join(F.broadcast(starts), (F.col("length") == F.col("b_length")) & (F.col("_salt") == F.col("b_salt")))
     numbered = numbered.withColumn("_i", F.col("_base") + F.col("_k"))
     placed = numbered.join(F.broadcast(slots), (F.col("length") == F.col("s_length")) & (F.col("_i") >= F.col("s_first")) & (F.col("_i") < F.col("s_stop")))
