@@ -6,7 +6,8 @@ reported only if the checksum holds. Long hexadecimal runs have no keyword; they
 linear scan. Spans are code points, end exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; nothing is
-shuffled, so hot sources and very long texts stay in their own task.
+shuffled, so hot sources and very long texts stay in their own task, in time linear in their length. Of spans that
+start at one place the kinds come in the order of KINDS.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +37,9 @@ _NEAR = {
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     "google": re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
     "stripe": re.compile(r"[sr]k_live_[A-Za-z0-9]{16,250}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----", re.DOTALL),
 }
+_RUN = re.compile(r"[A-Za-z0-9_-]*")
+_BEGIN, _END = (re.compile(rf"-----{x} (?:[A-Z]+ )?PRIVATE KEY-----") for x in ("BEGIN", "END"))
 _KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"), "akia": "access",
     **dict.fromkeys(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "github"), "npm_": "npm",
@@ -63,6 +65,51 @@ def _valid(kind: str, found: str) -> bool:
     return True
 
 
+class _Places:
+    """Ends of the spans of one text that have no bounded length, each part of the text being read once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run = (0, 0)  # the run of token letters last looked at
+        self.ends: list[tuple[int, int]] | None = None
+
+    def end(self, kind: str, start: int) -> int:
+        """Where the secret of this kind that starts here ends; 0 if there is none."""
+        if kind == "pem":
+            return self._pem(start)
+        if kind == "jwt":
+            return self._jwt(start)
+        m = _NEAR[kind].match(self.text, start)
+        return m.end() if m and _valid(kind, m[0]) else 0
+
+    def _run_end(self, at: int) -> int:
+        if not self.run[0] <= at < self.run[1]:
+            self.run = (at, _RUN.match(self.text, at).end())
+        return self.run[1]
+
+    def _jwt(self, start: int) -> int:
+        """Three runs of 8 letters or more joined by dots, the first two beginning with eyJ besides."""
+        first = self._run_end(start)
+        if first - start < 11 or not self.text.startswith(".eyJ", first):
+            return 0
+        second = _RUN.match(self.text, first + 1).end()
+        if second - first < 12 or not self.text.startswith(".", second):
+            self.run = (self.run[0], first)
+            return 0
+        third = _RUN.match(self.text, second + 1).end()
+        return third if third - second > 8 else 0
+
+    def _pem(self, start: int) -> int:
+        """Up to the first end mark after the begin mark."""
+        m = _BEGIN.match(self.text, start)
+        if not m:
+            return 0
+        if self.ends is None:
+            self.ends = [x.span() for x in _END.finditer(self.text)]
+        k = bisect_left(self.ends, (m.end(), 0))
+        return self.ends[k][1] if k < len(self.ends) else 0
+
+
 class Scanner:
     def __init__(self):
         import ahocorasick
@@ -79,6 +126,7 @@ class Scanner:
         found: list[tuple[str, int, int]] = []
         past = dict.fromkeys(KINDS, 0)
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII letters only
+        places = _Places(text)
         hits = sorted((end - size + 1, kind) for end, (kind, size) in self.words.iter(low))
         for start, kind in hits:
             if start < past[kind]:
@@ -93,9 +141,9 @@ class Scanner:
                     past[kind] = m.end()
                     if m.end() - start >= 16:
                         found.append((kind, start, m.end()))
-            elif (m := _NEAR[kind].match(text, start)) and _valid(kind, m[0]):
-                past[kind] = m.end()
-                found.append((kind, start, m.end()))
+            elif end := places.end(kind, start):
+                past[kind] = end
+                found.append((kind, start, end))
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
         found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         return found
