@@ -154,16 +154,29 @@ def features(stats: DataFrame, *keep: str) -> DataFrame:
     return stats.select(*keep, *[F.expr(f"cast({sql} as double)").alias(name) for name, sql in FEATURES.items()])
 
 
-def labelled_sample(values: DataFrame, labels: DataFrame, target: str, columns: list[str], most: int, train_only: bool = True):
-    """(X, y) of at most `most` labelled rows (the bound is the caller's documented parameter), by hash order.
+def label_sample(labels: DataFrame, target: str, most: int, train_only: bool = True) -> DataFrame:
+    """(_id, _y, _h): about `most` labels 0 or 1, the first by hash order; several labels of one id are one row each.
 
-    Several labels of one document count as one row each; null labels and ids are left out.
+    Only rows below a hash bound go on, and the bound comes from a count, so what is gathered doesn't grow with the table.
     """
     from .common import train_fold
 
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
     if train_only:
         marks = marks.where(train_fold(F.col("_id")))
-    rows = values.join(marks, F.col("doc_id") == F.col("_id")).select("_y", *columns, F.xxhash64("_id").alias("_h"), "_id")
-    got = rows.orderBy("_h", "_id", "_y", *columns).limit(most).drop("_h", "_id").toPandas()
+    marks = marks.distinct().withColumn("_h", F.xxhash64("_id"))
+    n = marks.count()
+    share = min(1.0, (most + 6 * most**0.5) / max(n, 1))  # `most` rows at least, but for one case in a thousand million
+    return marks if share >= 1 else marks.where(F.pmod("_h", F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def labelled_sample(values: DataFrame, labels: DataFrame, target: str, columns: list[str], most: int, train_only: bool = True):
+    """(X, y) of at most `most` labelled rows (the bound is the caller's documented parameter), by hash order.
+
+    Equal rows of one document count once; several labels of one document count as one row each; null labels and ids
+    are left out.
+    """
+    marks = label_sample(labels, target, most, train_only)
+    rows = values.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("_h", "_id", "_y", *columns).distinct()
+    got = rows.orderBy(F.pmod("_h", F.lit(1 << 40)), "_id", "_y", *columns).limit(most).drop("_h", "_id").toPandas()
     return got[columns].to_numpy(dtype=float), got["_y"].to_numpy(dtype=float)

@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier over words and word beginnings.
 
 The model is fitted on a bounded sample of labelled training rows (parameter `most`). Sentences of the sample
-that name an identity group are swapped to the other terms of the group, and the fit pays for every change of
-score between a text and its swapped twin, so neutral mentions can't carry weight. Scoring is one pass over
+that name an identity group are swapped, term by term, to every other term of the group, and the fit pays for
+every change of score between a sentence and its swapped twin, so neutral mentions can't carry weight. Scoring is one pass over
 whole texts without a shuffle; the model is a few thousand weights.
 
 Defined results: null and empty texts get the score of no evidence; repeated rows get equal scores; an empty
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .boosting import sigmoid
 from .common import materialize, need, train_fold
+from .textstats import label_sample
 
-MOST, FEATURES, SWAPS = 20_000, 4_096, 4
+MOST, FEATURES = 20_000, 4_096
 PREFIXES = (4, 5, 6)
 
 #: Terms that may stand for each other in a sentence.
@@ -39,6 +41,7 @@ IDENTITY_GROUPS = (
 )
 _GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group}
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def tokens(text: str) -> set[str]:
@@ -52,15 +55,13 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def swapped(text: str, most: int = SWAPS) -> list[str]:
-    """Twins of the text with one identity term (all its places) replaced by others of its group."""
-    out = []
-    found = dict.fromkeys(w for w in _WORD.findall(text.lower()) if w in _GROUP_OF)
-    for term in found:
-        for other in _GROUP_OF[term]:
-            if other != term and len(out) < most:
-                out.append(re.sub(rf"\b{term}\b", other, text, flags=re.IGNORECASE))
-    return out
+def swapped(text: str) -> Iterator[tuple[str, str]]:
+    """(sentence, twin) for each identity term of each sentence and each other term of its group; all its places are swapped."""
+    for sentence in _SENTENCE.findall(text):
+        for term in dict.fromkeys(w for w in _WORD.findall(sentence.lower()) if w in _GROUP_OF):
+            for other in _GROUP_OF[term]:
+                if other != term:
+                    yield sentence, re.sub(rf"\b{term}\b", other, sentence, flags=re.IGNORECASE)
 
 
 class Model:
@@ -79,8 +80,11 @@ class Model:
         return float(sigmoid(total + sum(map(self.weights.__getitem__, seen))))
 
 
-def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], size: int, ridge: float = 1e-3, counterfactual: float = 5.0, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on mean logistic loss + ridge + counterfactual x mean squared score change of twins."""
+def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int], list[int]]], size: int, ridge: float = 1e-3, counterfactual: float = 5.0, rounds: int = 800, times: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on mean logistic loss + ridge + counterfactual x mean squared score change of twins.
+
+    twins holds the features of both sides; `times` says how often each pair stands in the sample (once if None).
+    """
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     w, bias = np.zeros(size), float(np.log(rate / (1 - rate)))
     if len(y) < 2 or y.min() == y.max() or not size:
@@ -91,9 +95,10 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int
     ur, uc = flat([list(set(b) - set(a)) for a, b in twins])
     # each class weighs half, so that a rare class is learnt
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    pulled = 2 * counterfactual / max(len(twins), 1)
+    often = np.ones(len(twins)) if times is None else np.asarray(times, dtype=float)
+    pulled = 2 * counterfactual * often / max(often.sum(), 1.0)
     # diagonal scaling; in scaled weights the curvature is at most that of the longest row and the longest difference
-    lift = np.sqrt(np.bincount(c, weight[r], size) + pulled * (np.bincount(tc, minlength=size) + np.bincount(uc, minlength=size)) + 1e-4)
+    lift = np.sqrt(np.bincount(c, weight[r], size) + np.bincount(tc, pulled[tr], size) + np.bincount(uc, pulled[ur], size) + 1e-4)
     longest = lambda who, n: int(np.bincount(who, minlength=max(n, 1)).max())
     rate = 1.0 / (0.25 * (1 + longest(r, len(y))) + (longest(tr, len(twins)) + longest(ur, len(twins)) if twins else 0) + ridge)
     v, b, mw, mb = np.zeros(size), 0.0, np.zeros(size), 0.0
@@ -113,8 +118,7 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, twins: list[tuple[list[int
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, features: int = FEATURES, counterfactual: float = 5.0) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic 0/1): at most `most` labelled training rows, by hash order."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & train_fold(F.col("_id")))
-    chosen = marks.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
+    chosen = label_sample(labels, "toxic", most).orderBy(F.pmod("_h", F.lit(1 << 40)), "_id", "_y").limit(most)
     sample = need(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_y", F.col("text").cast("string").alias("text"))
     sample, _ = materialize(sample, "toxic")
 
@@ -138,18 +142,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, features: int =
 
     def index(batches):
         for batch in batches:
-            rows, twins = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                rows.append(sorted(place[t] for t in tokens(text) & place.keys()))
-                twins.append([sorted(place[t] for t in tokens(x) & place.keys()) for x in swapped(text)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.list_(pa.int32())))], names=["y", "f", "twins"])
-
-    got = sample.mapInArrow(index, "y int, f array<int>, twins array<array<int>>").toPandas()  # at most `most` rows of indexes
+            rows = [sorted(place[t] for t in tokens(x.as_py() or "") & place.keys()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["y", "f"])
+
+    def differences(batches):
+        """Features that only the sentence has, features that only its twin has, and how often that is so."""
+        found: Counter[tuple] = Counter()
+        for batch in batches:
+            for x in batch.column(1):
+                for sentence, twin in swapped(x.as_py() or ""):
+                    a, b = (tokens(s) & place.keys() for s in (sentence, twin))
+                    found[tuple(sorted(place[t] for t in a - b)), tuple(sorted(place[t] for t in b - a))] += 1
+        columns = ([list(a) for a, _ in found], [list(b) for _, b in found], list(found.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()), strict=True)], names=["a", "b", "n"])
+
+    got = sample.mapInArrow(index, "y int, f array<int>").toPandas()  # at most `most` rows of indexes
     rows = [list(x) for x in got["f"]]
-    twins = [(own, list(t)) for own, ts in zip(rows, got["twins"], strict=True) for t in ts]
+    # a difference is what two terms of a group leave of their few features: bounded by the lists of terms
+    pairs = sample.mapInArrow(differences, "a array<int>, b array<int>, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    twins = [(list(r["a"]), list(r["b"])) for r in sorted(pairs, key=lambda r: (r["a"], r["b"]))]
+    times = [r["n"] for r in sorted(pairs, key=lambda r: (r["a"], r["b"]))]
     y = got["y"].to_numpy(dtype=float)
-    weights, bias = fit_weights(rows, y, twins, len(names), counterfactual=counterfactual)
+    weights, bias = fit_weights(rows, y, twins, len(names), counterfactual=counterfactual, times=times)
     return Model(names, weights, bias)
 
 
