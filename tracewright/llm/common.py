@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Numeric version of "this row is trained on": crc32(doc_id as text) mod FOLDS is not HELD_OUT.
 FOLDS, HELD_OUT = 5, 0
 
+#: Keys are hot with a HOT_KEYS-th of all rows, and HOT_ROWS at least.
+HOT_KEYS, HOT_ROWS = 10_000, 32
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; set here only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tracewright-")  # a single machine: removed when Python ends
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -43,6 +48,26 @@ def drop_table(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: dict[str, str], many: str, total: int) -> DataFrame:
+    """rows left-joined with table by keys (column of rows -> column of table); table has one row a key.
+
+    `many` tells how many of the `total` rows have the key. The keys with a HOT_KEYS-th of all rows or more, of which
+    there are HOT_KEYS at most, are joined by broadcast, so that no key's rows are met in one task. Keys of rows are
+    not null.
+    """
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    bound = max(HOT_ROWS, total // HOT_KEYS + 1)
+    hot = table.where(F.col(many) >= bound)
+    same = lambda names: reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in names.items()])
+    marks = hot.select(*[F.col(b).alias(f"_hot_{b}") for b in keys.values()])
+    usual = rows.join(F.broadcast(marks), same({a: f"_hot_{b}" for a, b in keys.items()}), "left_anti")
+    usual = usual.join(table.where(F.col(many) < bound), same(keys), "left")
+    return usual.unionByName(rows.join(F.broadcast(hot), same(keys)))
+
+
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of the input cannot clash with working ones."""
     missing = [c for c in columns if c not in df.columns]

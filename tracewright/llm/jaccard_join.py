@@ -1,6 +1,7 @@
 """N-gram Jaccard join: MinHash buckets, Bayesian candidate pruning, exact verification.
 
-1. Texts with the same words form a class; one representative goes on (grouped minimum by a 128-bit key).
+1. Texts with the same words form a class; one representative goes on (grouped minimum by a 128-bit key). Rows get
+   their class's results by a join that broadcasts the few classes with very many copies.
 2. MinHash bands of the representatives give buckets. A bucket only yields links to its smallest member,
    so it is never expanded into pairs; connected buckets form candidate groups that hold every pair that
    shares a band. At the default 32 bands of 5 a pair at the threshold is missed with probability 3e-6.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, need
+from .common import materialize, need, split_join
 from .components import connected_components
 from .textstats import mix, window_hashes
 
@@ -212,14 +213,13 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     above the threshold, component_id is the smallest id reachable by links, kept marks one row of that id in each component.
     """
     found, _ = materialize(fingerprints(docs, size).withColumn("row_id", F.monotonically_increasing_id()), "shingles")
-    named = found.where("doc_id is not null and n_words > 0")
-    classes = named.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies")).withColumn("node", F.xxhash64("text_key"))
-    classes, _ = materialize(classes, "classes")  # as a table, so that the join below can split a class with very many copies
-    reps = (
-        named.where("n_shingles > 0").join(classes.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("class_id")))
-        .select(F.col("node").alias("id"), F.col("class_id").alias("doc"), "n_shingles", F.col("n_copies").alias("copies"), "bands").dropDuplicates(["id"])
-    )
-    reps, _ = materialize(reps, "reps")
+    total = found.count()
+    # equal texts have equal shingles, so any row of a class gives them; partial results leave each task
+    classes = found.where("doc_id is not null and n_words > 0").groupBy("text_key").agg(
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
+    )
+    classes, _ = materialize(classes.withColumn("node", F.xxhash64("text_key")), "classes")
+    reps = classes.where("n_shingles > 0").select(F.col("node").alias("id"), F.col("class_id").alias("doc"), "n_shingles", F.col("n_copies").alias("copies"), "bands")
     banded = reps.select("id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("b"), "hub")
     stars = banded.join(buckets, F.col("band") == F.col("b")).where("id <> hub").select("id", "hub").distinct()
@@ -232,25 +232,27 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
     wanted = members.select(bucket("doc").alias("_bucket")).distinct()
     texts = texts.join(F.broadcast(wanted), bucket("_doc") == F.col("_bucket"), "left_semi").withColumn("_node", F.xxhash64(text_key(F.col("text"))))
-    verified, _ = materialize(_verify(tasks.join(texts, (F.col("id") == F.col("_node")) & (F.col("doc") == F.col("_doc"))).dropDuplicates(["id"]), size, threshold, tolerance), "links")
+    texts = texts.groupBy("_node", "_doc").agg(F.first("text").alias("text"))  # one row of equal ones
+    verified, _ = materialize(_verify(tasks.join(texts, (F.col("id") == F.col("_node")) & (F.col("doc") == F.col("_doc"))), size, threshold, tolerance), "links")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     unions = connected_components(verified.where("id <> root"), "id", "root").select(F.col("id").alias("_id"), "component")
     least = unions.join(members.select(F.col("id").alias("_m"), "doc"), F.col("_id") == F.col("_m")).groupBy("component").agg(F.min("doc").alias("least")).withColumnRenamed("component", "_c")
     by_class = links.join(unions, F.col("id") == F.col("_id"), "left").join(least, F.col("component") == F.col("_c"), "left").select(F.col("id").alias("_class"), "links", "component", "least")
-    member = (
-        found.select("row_id", "doc_id", "text_key", "n_words")
-        .join(classes.withColumnRenamed("text_key", "_key"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").isNotNull() & (F.col("n_words") > 0), "left")
-        .join(by_class, F.col("node") == F.col("_class"), "left")
+    verdicts, _ = materialize(
+        classes.select(F.col("text_key").alias("_key"), "class_id", "n_copies", "node").join(by_class, F.col("node") == F.col("_class"), "left").drop("_class"), "verdicts"
     )
+    own = F.concat(F.lit("row "), F.col("row_id").cast("string")).cast("binary")  # rows without a class meet nothing
+    rows = found.select("row_id", "doc_id", "text_key", "n_words", F.when(F.col("doc_id").isNotNull() & (F.col("n_words") > 0), F.col("text_key")).otherwise(own).alias("_class"))
+    member = split_join(rows, verdicts, {"_class": "_key"}, "n_copies", total)
     class_id = F.coalesce("class_id", "doc_id")
     component = F.coalesce("least", class_id)
     member, _ = materialize(member.withColumn("group", F.coalesce("component", "node")).withColumn("first_id", F.coalesce(F.col("doc_id") == component, F.lit(True))), "members")
     # of several rows of a component's smallest id, one is kept
     firsts = member.where("first_id and group is not null").groupBy(F.col("group").alias("_g")).agg(F.min("row_id").alias("_row"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     member = member.withColumn("_own", F.when(F.col("first_id") & F.col("group").isNotNull(), F.col("group")).otherwise(F.col("row_id")))
-    member = member.join(firsts, (F.col("_own") == F.col("_g")) & F.col("first_id") & F.col("group").isNotNull(), "left")
+    member = split_join(member, firsts, {"_own": "_g"}, "_n", total)
     return member.select(
         "doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("n_copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        component.alias("component_id"), (F.col("first_id") & F.coalesce(F.col("row_id") == F.col("_row"), F.lit(True))).alias("kept"), *(["text_key"] if keyed else []),
+        component.alias("component_id"), (F.col("first_id") & F.coalesce(F.col("group").isNull() | (F.col("row_id") == F.col("_row")), F.lit(True))).alias("kept"), *(["text_key"] if keyed else []),
     )
