@@ -3,8 +3,9 @@
 Vectors are compared within a label only. Equal vectors form a class and one representative goes on. Each
 label is dealt into shards (at least SHARDS, more beyond SHARD_ROWS each), one graph each; queries go in
 chunks of bounded size to every shard of their label. A beam widens per query while its worst hit is still a
-link, and for a whole task while its audit (a few queries compared with all rows of the shard) finds less than
-the wanted recall. Tasks return counts and component edges, never the pairs.
+link, and for a whole task while its audit finds less than the wanted recall: AUDIT queries and one in AUDIT_SHARE
+are compared with all rows of the shard, and their own vectors don't count. Tasks return counts and component edges,
+never the pairs. Vectors travel as they are stored; unit vectors in double precision are made where they are used.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, and those with a
 null label or id, link with nothing; vectors of different length are not compared; repeated rows are copies.
@@ -17,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, split_join
 from .components import connected_components
 from .hnsw import Hnsw, neighbours_above
 
 THRESHOLD, RECALL = 0.93, 0.98
-SHARDS, SHARD_ROWS, CHUNK = 4, 50_000, 2_048
-BEAM, AUDIT = 32, 24
+SHARDS, SHARD_ROWS, CHUNK = 2, 50_000, 16_384
+BEAM, AUDIT, AUDIT_SHARE = 32, 24, 50
 
 
 def unit(vectors) -> np.ndarray:
@@ -34,11 +35,10 @@ def unit(vectors) -> np.ndarray:
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("id")
-    exact = unit(frame["v"])
     return pd.DataFrame({
         "label": [frame["label"].iloc[0]], "dim": [frame["dim"].iloc[0]], "shard": [frame["shard"].iloc[0]], "chunks": [frame["chunks"].iloc[0]],
         "ids": [frame["id"].to_numpy(np.int64).tobytes()], "copies": [frame["copies"].to_numpy(np.int64).tobytes()],
-        "vectors": [exact.tobytes()], "graph": [Hnsw(exact).save()],
+        "vectors": [np.stack(frame["v"]).tobytes()], "graph": [Hnsw(unit(frame["v"])).save()],
     })
 
 
@@ -55,21 +55,24 @@ def _roots(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _query(threshold: float, recall: float, beam: int, audit: int):
+def _query(threshold: float, recall: float, beam: int, audit: int, stored: str):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
         if not len(index) or not len(queries):
             return none
         row, queries = index.iloc[0], queries.sort_values("id")
         ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-        exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-        graph, own, q = Hnsw.load(row["graph"]), queries["id"].to_numpy(np.int64), unit(queries["v"])
-        tried = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-        want = q[tried] @ exact.T >= threshold
+        exact = unit(np.frombuffer(row["vectors"], stored).reshape(len(ids), -1))
+        graph, own, q = Hnsw.load(row["graph"], exact), queries["id"].to_numpy(np.int64), unit(queries["v"])
+        tried = np.linspace(0, len(q) - 1, min(audit + len(q) // AUDIT_SHARE, len(q))).astype(int)
+        want = 0
+        for s in range(0, len(tried), 64):
+            part = tried[s : s + 64]
+            want += int(((q[part] @ exact.T >= threshold) & (own[part][:, None] != ids[None, :])).sum())
         wide = beam
         while True:
             a, b = neighbours_above(graph, exact, q[tried], threshold, wide)
-            if len(a) >= recall * want.sum() or wide >= len(ids):
+            if (own[tried][a] != ids[b]).sum() >= recall * want or wide >= len(ids):
                 break
             wide *= 2
         a, b = neighbours_above(graph, exact, q, threshold, wide)
@@ -90,21 +93,21 @@ def _query(threshold: float, recall: float, beam: int, audit: int):
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float = RECALL,
                     shards: int = SHARDS, shard_rows: int = SHARD_ROWS, chunk: int = CHUNK, beam: int = BEAM, audit: int = AUDIT) -> DataFrame:
     """One row per input row: the id, n_links, component_id, kept (and class_id, the smallest id of an equal vector)."""
-    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    stored = {"array<float>": "<f4"}.get(kind, "<f8")
+    source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind if stored == "<f4" else "array<double>").alias("v"))
     good = F.expr("id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     keyed = source.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("dim", F.size("v"))
     keyed = keyed.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
-    classes = keyed.where("ok").groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    c = classes.select(*[F.col(x).alias(f"_{x}") for x in ("label", "dim", "h1", "h2")], "class_id", "copies")
-    same = (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    marked = keyed.join(c, F.col("ok") & same, "left")
-    reps = marked.where("ok and id = class_id").dropDuplicates(["id"]).select("id", "label", "dim", "copies", "v")
+    # vectors of one label with equal hashes are equal, so any row of a class gives its vector
+    reps = keyed.where("ok").groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     reps, _ = materialize(reps, "vectors")
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("label").alias("_l"), F.col("dim").alias("_d"),
         F.greatest(F.lit(shards), F.ceil(F.col("n") / shard_rows)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int").alias("chunks"),
     )
-    dealt = reps.join(sizes, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d"))).drop("_l", "_d")
+    # sizes has a row for each label: broadcast up to the session's own limit, which is checked by Spark
+    dealt = reps.drop("h1", "h2").join(sizes, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d"))).drop("_l", "_d")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("chunks")).cast("int"))
     label = vectors.schema[label_col].dataType.simpleString()
     index = dealt.select("id", "label", "dim", "copies", "v", "shard", "chunks").groupBy("label", "dim", "shard").applyInPandas(
@@ -114,11 +117,17 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spread = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     queries = dealt.select("id", "label", "dim", "v", "chunk", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     keys = ["label", "dim", "shard", "chunk"]
-    found = spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_query(threshold, recall, beam, audit), "id long, links long, root long")
+    found = spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_query(threshold, recall, beam, audit, stored), "id long, links long, root long")
     found, _ = materialize(found, "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_id")
     unions = connected_components(found, "id", "root").select(F.col("id").alias("_node"), "component")
-    out = marked.join(links, F.col("class_id") == F.col("_id"), "left").join(unions, F.col("class_id") == F.col("_node"), "left")
+    classes = reps.select(F.col("label").alias("_label"), F.col("dim").alias("_dim"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("id").alias("class_id"), "copies")
+    classes = classes.join(links, F.col("class_id") == F.col("_id"), "left").join(unions, F.col("class_id") == F.col("_node"), "left").drop("_id", "_node")
+    classes, _ = materialize(classes, "classes")
+    rows = keyed.select("id", "label", "ok", "dim", "h1", "h2")
+    keys = {"label": "_label", "dim": "_dim", "h1": "_h1", "h2": "_h2"}
+    out = split_join(rows.where("ok"), classes, keys, "copies", vectors.count())
+    out = out.unionByName(rows.where("not ok"), allowMissingColumns=True)
     class_id = F.coalesce("class_id", "id")
     component = F.coalesce("component", class_id)
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))

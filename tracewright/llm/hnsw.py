@@ -152,15 +152,23 @@ class Hnsw:
         return self._beam(q, entry, 0, min(beam, len(self.x)))
 
     def save(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, x=self.x, level=self.level, entry=self.entry, **{f"l{k}": t for k, t in enumerate(self.links)})
+        """The links, without the vectors. Upper levels hold the rows of their own nodes only."""
+        out, parts = io.BytesIO(), {}
+        for k, table in enumerate(self.links):
+            nodes = np.flatnonzero(self.level >= k).astype(np.int32)
+            parts |= {f"n{k}": nodes if k else nodes[:0], f"l{k}": table[nodes]}
+        np.savez(out, level=self.level.astype(np.int8), entry=self.entry, **parts)
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Hnsw:
+    def load(cls, data: bytes, vectors: np.ndarray) -> Hnsw:
         got, self = np.load(io.BytesIO(data)), cls.__new__(cls)
-        self.x, self.level, self.entry = got["x"], got["level"], int(got["entry"])
-        self.links = [got[f"l{k}"] for k in range(sum(name[0] == "l" and name[1:].isdigit() for name in got.files))]
+        self.x, self.level, self.entry = np.ascontiguousarray(vectors, dtype=np.float32), got["level"].astype(int), int(got["entry"])
+        self.links = [got["l0"]]
+        for k in range(1, sum(name[0] == "l" and name[1:].isdigit() for name in got.files)):
+            table = np.full((len(self.x), got[f"l{k}"].shape[1]), -1, dtype=np.int32)
+            table[got[f"n{k}"]] = got[f"l{k}"]
+            self.links.append(table)
         self.degree = self.links[0].shape[1] // 2
         return self
 
