@@ -25,7 +25,7 @@ def test_graph_finds_neighbours():
     x = rng.normal(size=(1500, 16))
     x[700:1000] = x[5] + 0.05 * rng.normal(size=(300, 16))  # a tight group larger than the beam
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Hnsw.load(Hnsw(x).save())
+    graph = Hnsw.load(Hnsw(x).save(), x)
     ids, _ = graph.search(x[:200], 64)
     best = np.argsort(-(x[:200] @ x.T), axis=1)[:, :5]
     assert np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(ids, best, strict=True)]) > 0.9

@@ -309,7 +309,8 @@ def test_toxicity_and_its_counterfactuals(spark):
     held_back = toxicity.train(docs(spark, texts), labels, counterfactual=20.0)
     gap = lambda m: abs(m.score("the muslims came") - m.score("the christians came"))
     assert gap(held_back) < gap(free) and gap(held_back) < 0.1 and held_back.score("muslims are kind people") < 0.5 < held_back.score("you scumbag")
-    assert toxicity.swapped("Women and men", 2) == ["men and men", "girls and men"]
+    twins = [t for _, t in toxicity.swapped("Women and men. The old MEN")]
+    assert twins[:3] == ["men and men", "girls and men", "boys and men"] and " The young MEN" in twins and " The old boys" in twins and len(twins) == 3 + 3 + 2 + 3
     assert toxicity.toxicity(docs(spark, []).limit(0), labels).count() == 0
 
 
