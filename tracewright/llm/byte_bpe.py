@@ -8,8 +8,8 @@
 
 The fold goes over the word's byte array with the rank map as a literal of the plan. The state is an array of one
 integer a token: the rank of its merge with the next token, its place and its id, so the smallest one is the
-leftmost lowest-ranked merge. The rank map is a perfect hash of the mergeable pairs of ids. Arrays are never concatenated in the fold, as that is slow where expressions are
-interpreted. Words of more than LONG bytes keep their state in blocks, so that a merge touches a few blocks only.
+leftmost lowest-ranked merge. The rank map is a perfect hash of the mergeable pairs of ids. Arrays are joined by
+flatten, as concat is slow where expressions are interpreted. Words of more than LONG bytes keep their state in blocks, so that a merge touches a few blocks only.
 
 Defined results: null and empty texts have no ids; decoding gives back the text's UTF-8 bytes; repeated
 rows are encoded one by one; words of any length are folded whole.
@@ -40,6 +40,7 @@ LONG, PART = 256, 1024
 ID, PLACE = 18, 27
 TOP = ID + PLACE
 NONE = (1 << ID) - 1  # no such merge
+EDGE = 256  # stands for the ends of a word, beside its byte values
 
 #: Texts of these code points only are split by the standard library with the classes written out; others by `regex`.
 _PLAIN = re.compile("[\\x00-\\x7f\\xa1-\\xa9\\xab-\\xac\\xae-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027]*")
@@ -76,12 +77,12 @@ class PairTable:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= NONE - 1:
             raise ValueError(f"ids must be below {NONE - 1}")
-        self.first = [ranks[bytes([k])] for k in range(256)]
         self.edge = max(ranks.values()) + 1
+        self.first = [*(ranks[bytes([k])] for k in range(256)), self.edge]  # by byte; EDGE is none
         found = [(a, b, rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
         left, right, merged = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
-        self.size = 1 << max(4, int(2.5 * len(found)).bit_length())
-        self.buckets = self.size >> 3
+        self.size = 1 << max(4, int(1.25 * len(found)).bit_length())  # as small as is quickly found: the table is part of plans
+        self.buckets = self.size >> 2
         rng = np.random.default_rng(1)
         while True:  # until no two pairs share both bucket and place
             self.left, self.right = (int(x) * 2 + 1 for x in rng.integers(1 << 39, 1 << 40, 2))
@@ -101,7 +102,7 @@ class PairTable:
                 fits = tries[~taken[place[own][None, :] ^ tries[:, None]].any(axis=1)]
                 if len(fits):
                     break
-                n = min(2 * n, 65_536)
+                n = min(4 * n, 65_536)
             self.shift[names[k]] = fits[0]
             taken[place[own] ^ fits[0]] = True
             self.slots[place[own] ^ fits[0]] = (left[own] << ID | right[own]) << ID | merged[own]
@@ -132,7 +133,7 @@ def _let(value: Column, kind: str, body) -> Column:
 
 
 def encode_words(words: Column, table: PairTable) -> Column:
-    """array<array<int>> ids of an array of binary words (NULL for NULL).
+    """array<array<int>> ids of an array of words, each an array of byte values between two EDGEs (see byte_arrays).
 
     The rank map is bound once, as variables of outer lambdas, so the plan and each task hold one copy.
     """
@@ -145,23 +146,26 @@ def encode_words(words: Column, table: PairTable) -> Column:
 
 
 def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
-    """array<int> ids of a word: the lowest-ranked pair is merged, leftmost first, until none is left."""
+    """array<int> ids of a word between its edges: the lowest-ranked pair is merged, leftmost first, until none is left."""
     state, parts = "array<bigint>", "array<struct<m:bigint,e:array<bigint>>>"
     least = _long(NONE << TOP)
     id_of = lambda e: e.bitwiseAND(_long(NONE))
     ranked = lambda e, r: F.shiftleft(r, TOP).bitwiseOR(e.bitwiseAND(_long((1 << TOP) - 1)))
-    end = _long(NONE << TOP | edge)
 
     def joined(m, after):
         """The token that the merge m makes, before the token `after`."""
         new = F.shiftright(m, TOP)
         return ranked(m.bitwiseAND(_long(((1 << TOP) - 1) ^ NONE)).bitwiseOR(new), rank(new, id_of(after)))
 
+    def merged(a, m, i):
+        """The token before the merge m at i, with its new rank, and the token that it makes."""
+        left = a[i - 2]
+        return F.array(ranked(left, rank(id_of(left), F.shiftright(m, TOP))), joined(m, a[i + 1]))
+
     def step(a, _):
         def merge(m):
             def at(i):
-                before = lambda x: ranked(x, rank(id_of(x), F.shiftright(m, TOP)))
-                return F.transform(F.array_remove(a, a[i]), lambda x, k: F.when(k == i - 1, joined(m, a[i + 1])).when(k == i - 2, before(x)).otherwise(x))
+                return F.flatten(F.array(F.slice(a, 1, i - 2), merged(a, m, i), F.slice(a, i + 2, F.size(a))))
 
             return F.when(m >= least, a).otherwise(_let(F.array_position(a, m).cast("int"), state, at))
 
@@ -177,9 +181,7 @@ def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
         def merge(m):
             def inside(w):
                 def at(i):
-                    left = w[i - 2]
-                    two = F.array(ranked(left, rank(id_of(left), F.shiftright(m, TOP))), joined(m, w[i + 1]))
-                    return _let(F.concat(F.slice(w, 1, i - 2), two, F.slice(w, i + 2, F.size(w))), parts, cut)
+                    return _let(F.flatten(F.array(F.slice(w, 1, i - 2), merged(w, m, i), F.slice(w, i + 2, F.size(w)))), parts, cut)
 
                 return _let(F.array_position(w, m).cast("int"), parts, at)
 
@@ -196,15 +198,13 @@ def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
         following = lambda i: F.coalesce(F.get(v, i + 1), _long(edge))
         return F.transform(v, lambda x, i: F.shiftleft(rank(x, following(i)), TOP).bitwiseOR(F.shiftleft(i.cast("bigint"), ID)).bitwiseOR(x))
 
-    # bytes as code points of a Latin-1 string; the edges are put at both ends
-    letters = F.split(F.decode(word, "ISO-8859-1"), "")
-    tokens = _let(F.transform(letters, lambda c: byte_ids[F.ascii(c)]), state, start)
-    tokens = F.array_append(F.array_prepend(tokens, end), end)
+    size = F.size(word) - 2
+    tokens = _let(F.transform(word, lambda b: byte_ids[b]), state, start)
     ids = lambda a: F.transform(F.slice(a, 2, F.size(a) - 2), lambda e: id_of(e).cast("int"))
-    steps = F.slice(letters, 1, F.octet_length(word) - 1)
+    steps = F.slice(word, 1, F.greatest(size - 1, F.lit(0)))
     folded = F.aggregate(steps, tokens, step, ids)
     in_parts = F.aggregate(steps, _let(tokens, parts, cut), long_step, lambda bs: ids(F.flatten(F.transform(bs, lambda b: b["e"]))))
-    return F.when(word.isNull(), F.lit(None).cast("array<int>")).when(F.octet_length(word) == 0, F.array().cast("array<int>")).when(F.octet_length(word) > LONG, in_parts).otherwise(folded)
+    return F.when(size > LONG, in_parts).otherwise(folded)
 
 
 class _Numbers(dict):
@@ -297,6 +297,14 @@ def _known(sent, key: str):
     return _KEPT[key]
 
 
+def byte_arrays(words: pa.Array) -> pa.Array:
+    """Binary words as lists of byte values between two EDGEs."""
+    data, sizes = _word_buffers(words)
+    flat = np.full(len(data) + 2 * len(sizes), EDGE, dtype=np.int16)
+    flat[np.arange(len(data)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)] = data
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 2)]).astype(np.int32)), pa.array(flat))
+
+
 def _word_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and sizes of a binary array."""
     ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
@@ -351,7 +359,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     words = frequent_words(blocks, head)
     whole = docs.sparkSession.createDataFrame(pa.table({"piece": pa.array(ranks, pa.binary())}))
     words = words.join(F.broadcast(whole), F.col("word") == F.col("piece"), "left_anti")  # pieces are their own ids
-    folded, _ = materialize(words.select("word", encode_words(F.array("word"), pairs)[0].alias("ids")), "head")
+
+    def spell(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_arrays(batch.column(0))], names=["word", "bytes"])
+
+    spelled = words.mapInArrow(spell, "word binary, bytes array<smallint>")
+    folded, _ = materialize(spelled.select("word", encode_words(F.array("bytes"), pairs)[0].alias("ids")), "head")
     found = folded.toArrow()  # at most `head` words of HEAD_BYTES and as many ids
     ids = found.column("ids").combine_chunks()
     sizes = np.asarray(ids.value_lengths(), dtype=np.int64) if len(found) else np.empty(0, dtype=np.int64)
@@ -371,9 +385,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 at = np.minimum(np.searchsorted(h1, a), len(h1) - 1)
                 there = (h1[at] == a) & (h2[at] == b)
                 place = np.where(there, at, -1).astype("<i8")
-                absent = words.filter(pa.array(~there))
+                absent = byte_arrays(words.filter(pa.array(~there)))
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(k, 1) for c in batch.columns[:3]), pa.array([place.tobytes()], pa.binary()), pa.array([absent.to_pylist()], pa.list_(pa.binary()))], names=["doc_ids", "sizes", "codes", "place", "absent"]
+                    [*(c.slice(k, 1) for c in batch.columns[:3]), pa.array([place.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(absent)], pa.int32()), absent)], names=["doc_ids", "sizes", "codes", "place", "absent"]
                 )
 
     names = ["doc_id", *[f[0] for f in result.fields]]
@@ -407,7 +421,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    looked = blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<int>, codes binary, place binary, absent array<binary>")
+    looked = blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<int>, codes binary, place binary, absent array<array<smallint>>")
     done = looked.select("doc_ids", "sizes", "codes", "place", encode_words(F.col("absent"), pairs).alias("folded"))
     return done.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
 
