@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is joins and grouped minima over edges; each round is written to the shared folder, so a lost
-executor repeats one round at most and neither edges nor components ever reach the driver.
+executor repeats one round at most and neither edges nor components ever reach the driver. The nodes with very many
+edges, a bounded number, are joined by broadcast, so that no node's edges are met in one task.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, split_join
 
 ROUNDS = 60
 
@@ -18,16 +19,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"), "n")
+    return split_join(both.where("v > u"), least, {"u": "c"}, "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    joined = down.join(least, F.col("u") == F.col("c"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("c"), "m", "n")
+    joined = split_join(down, least, {"u": "c"}, "n", n)
     out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     now, path = materialize(now.distinct(), "edges")
     before = _state(now)
     for _ in range(ROUNDS):
-        after, new = materialize(_small_star(_large_star(now)), "edges")
+        after, new = materialize(_small_star(_large_star(now, before[0]), 2 * before[0]), "edges")
         drop_table(spark, path)
         now, path = after, new
         if (state := _state(now)) == before:
