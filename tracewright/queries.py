@@ -6,14 +6,18 @@ hold value, k, user and a multiplexer. Output never holds NaN: it is NULL there.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ieee
-from .functions.formula import catalogue_rows, formula_functions
+from .functions.formula import formula_functions
 from .operators import align, bits, decode, search, statistics, trace, view
 from .plans import exports
 from .plans.calculated import Definition, Registry, calculate, estimate_points
+from .plans.durable import shared_folder
+from .sources import asc, csv_files, trc
 from .sources.databases import Database, Message, Signal, channel_config, tables
 
 VIEW, CLICK, BUY = "CH1::view::value", "CH1::click::value", "CH1::purchase::value"
@@ -99,7 +103,9 @@ def _formula(name: str, formula: str, sql: str, digits: int = 4, where: str = "t
 _A, _B = f"`{VIEW}`", f"`{CLICK}`"
 _formula("zoh_sum", f"{_A} + {_B}", "a + b")
 _formula("formula_arithmetic", f"({_A} - {_B}) * 2 / ({_B} + 1.2347)", "(a - b) * 2 / (b + 1.2347::double)")
-_formula("formula_divide_by_zero", f"{_A} / ({_B} - {_B})", "cast('nan' as double)")
+# a quotient of zero is infinite or NaN (NULL here), but its reciprocal is zero and its sign decides comparisons
+_formula("formula_divide_by_zero", f"IF({_B} > 50, {_A} / ({_B} - {_B}), {_A} / ({_B} + 1))", "case when b > 50 then null else a / (b + 1) end")
+_formula("formula_infinities", f"{_A} + 1 / (({_B} - 50.005) / 0) + 2 * ((50.005 - {_B}) / 0 > 0)", "a + case when b < 50.005 then 2 else 0 end")
 _formula("formula_logs", f"log({_A} + 1) + log10({_B} + 1) + log2({_A} + {_B} + 1) + sqrt({_A}) + exp(-{_B})", "ln(a + 1) + log10(b + 1) + log2(a + b + 1) + sqrt(a) + exp(-b)")
 _formula("formula_log_domain", f"log({_A} - 100) + 0 * {_B}", "case when a > 100 then ln(a - 100) + 0 * b end")
 _formula("formula_powers", f"pow({_A}, 2) - {_B} ** 2 + abs({_B} - {_A}) + sign({_A} - {_B})", "a * a - b * b + abs(b - a) + sign(a - b)", 2)
@@ -146,9 +152,17 @@ def _estimate(spark, sf_dir):
     return estimate_points(samples_of(spark, sf_dir), f"{_A} + {_B}")
 
 
-@query("formula_catalogue", "select * from (values " + ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in row) + ")" for row in catalogue_rows()) + ") as t(category, name, signature, about)")
+#: The language as it is known to users: names by category.
+_LANGUAGE = {
+    "Math": "abs sqrt exp log log10 log2 pow sign mod", "Rounding": "round floor ceil trunc", "Selection": "min max clamp",
+    "Trigonometry": "sin cos tan asin acos atan atan2 degrees radians", "Logic": "IF", "Time": "lag delay rolling_sum rolling_mean integral derivative diag",
+    "Operators": "+ - * / ** % < <= > >= == != AND OR NOT & | ^ << >> ~", "Constants": "pi e",
+}
+
+
+@query("formula_catalogue", " union all ".join(f"select '{c}' as category, unnest(string_split('{names}', ' ')) as name" for c, names in _LANGUAGE.items()))
 def _catalogue(spark, sf_dir):
-    return formula_functions(spark)
+    return formula_functions(spark).select("category", "name")
 
 
 @query("range_statistics", f"with {_SAMPLES} select k as signal_key, min(v) as min, max(v) as max, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(sqrt(avg(v * v)), 6) as rms, count(*) as samples from samples where t between 1000 and 500000 and coalesce(label, '') = '' group by k")
@@ -465,7 +479,8 @@ def _decode_long(spark, sf_dir):
     return _out(out.where("signal <> 'Mux'").select("signal_key", "seq", "value"))
 
 
-@query("signal_properties")
+@query("signal_properties", """select * from (values ('Message', 'Msg3'), ('ID', '0x103'), ('Start bit', '16'), ('Length', '8'), ('Byte order', 'Intel'), ('Type', 'unsigned'), ('Factor', '1.0'), ('Offset', '0.0'), ('Unit', ''),
+('Raw minimum', '0.0'), ('Raw maximum', '255.0'), ('Multiplexer', ''), ('Labels', '3')) as t(item, value)""")
 def _properties(spark, sf_dir):
     return view.signal_properties(tables_of(spark)[1], "db", "Msg3", "K")
 
@@ -482,10 +497,10 @@ def _labels(spark, sf_dir):
     return events_of(spark, sf_dir).select(F.col("event_id").alias("seq"), decode.physical_to_label(k, F.lit(1.0), F.lit(0.0), choices).alias("label"))
 
 
-@query("single_frame")
+@query("single_frame", f"select signal_key, value, label from ({_DECODED}) where seq = 7")
 def _single(spark, sf_dir):
     messages, signals, _, config = tables_of(spark)
-    return decode.decode_frame(frames_of(spark, sf_dir), 7, messages, signals, config).select("signal_key", "value", "label")
+    return decode.decode_frame(frames_of(spark, sf_dir), 7, messages, signals, config).select("signal_key", F.round("value", 6).alias("value"), "label")
 
 
 @query("as_of_line_prices", """with o as (select o_orderkey, o_custkey, epoch(cast(o_orderdate as timestamp)) as t, o_totalprice from orders), q as (select o_custkey, t, max_by(o_totalprice, o_orderkey) as p from o group by o_custkey, t)
@@ -504,3 +519,48 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+# what a sink writes, its reader gives back
+_SENT = f"""with {_FRAMES}, f as (select *, row_number() over (order by frame_idx) - 1 as i, t_s - min(t_s) over () as t from words where not is_error)
+select i as frame_idx, round(t, 4) as t_s, channel, arb_id, dlc, direction, (w & 255) * 256 + ((w >> 8) & 255) as head, case when dlc = 4 then (w >> 24) & 255 else 0 end as tail from f"""
+
+
+def _folder(spark: SparkSession, suffix: str) -> str:
+    return f"{shared_folder(spark)}/tw-sink-{uuid.uuid4().hex}{suffix}"
+
+
+def _sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_of(spark, sf_dir).where("not is_error")
+
+
+def _received(frames: DataFrame) -> DataFrame:
+    number = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, 10).cast("bigint")
+    first = frames.agg(F.min("t_s").alias("_first"))
+    return frames.join(F.broadcast(first)).select("frame_idx", F.round(F.col("t_s") - F.col("_first"), 4).alias("t_s"), "channel", "arb_id", "dlc", "direction", number(1, 2).alias("head"), number(-1, 1).alias("tail"))
+
+
+def _round_trip(name: str, suffix: str, read):
+    def run(spark, sf_dir):
+        path = _folder(spark, suffix)
+        exports.convert_frames([_sent(spark, sf_dir)], path)
+        return _received(read(spark, path))
+    QUERIES[name], ORACLE[name] = run, _SENT
+_round_trip("round_trip_asc", ".asc", asc.read_frames)
+_round_trip("round_trip_trc", ".trc", trc.read_frames)
+_round_trip("round_trip_raw_csv", ".csv", csv_files.read_raw)
+
+
+@query("round_trip_narrow_csv", f"with {_SAMPLES} select k as signal_key, round(t, 4) as t_s, v as value from samples")
+def _narrow(spark, sf_dir):
+    path = _folder(spark, ".csv")
+    rows = samples_of(spark, sf_dir).select("channel", F.col("message").alias("message_name"), F.col("message_id"), F.col("signal").alias("signal_name"), "unit", F.col("t_s").alias("timestamp"), "value", F.col("value").alias("raw_value"))
+    rows.write.csv(path, header=True)
+    return csv_files.read_narrow(spark, path).select("signal_key", F.round("t_s", 4).alias("t_s"), "value")
+
+
+@query("round_trip_wide_csv", f"with {_SAMPLES}, g as (select t, a, b from grid), w as (select round(g.t, 4) as t, a.v as x, b.v as y from both_t g asof left join s_view a on a.t <= g.t asof left join s_click b on b.t <= g.t) select 'view' as signal, t as t_s, x as value from w where x is not null union all select 'click', t, y from w where y is not null")
+def _wide(spark, sf_dir):
+    path = _folder(spark, ".csv")
+    samples = samples_of(spark, sf_dir).where(F.col("signal_key").isin(VIEW, CLICK)).withColumn("label", F.lit(None).cast("string"))
+    named = samples.withColumn("signal_key", F.concat(F.lit("CH1::all::"), "message"))
+    exports.write_safely(exports.wide_table(named, ["CH1::all::view", "CH1::all::click"], exports.UnionTimes()).orderBy("Time"), path, "csv", header=True, emptyValue="", nullValue="")
+    return csv_files.read_wide(spark, path).select("signal", F.round("t_s", 4).alias("t_s"), "value")
