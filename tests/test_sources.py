@@ -165,3 +165,76 @@ def test_channel_config(tmp_path):
     assert config == {("CAN", 1): "a.dbc", ("LIN", 2): "b.ldf"}
     recordings.save_channel_config(path, config)
     assert recordings.read_channel_config(path) == config
+
+
+def blf_container(frames, method=2, damage=False):
+    """Top-level container bytes of classic frames (time, channel, id, data)."""
+    import struct
+    import zlib
+
+    body = b""
+    for t, channel, ident, data in frames:
+        inner = struct.pack("<HBBI8s", channel, 0, len(data), ident, data.ljust(8, b"\0"))
+        body += struct.pack("<4sHHII", b"LOBJ", 32, 1, 32 + len(inner), 1) + struct.pack("<IHHQ", 2, 0, 0, round(t * 1e9)) + inner
+    packed = zlib.compress(body) if method == 2 else body
+    packed = b"\xff" * len(packed) if damage else packed
+    out = struct.pack("<4sHHII", b"LOBJ", 16, 1, 32 + len(packed), 10) + struct.pack("<H6xI4x", method, len(body)) + packed
+    return out + b"\0" * (len(out) % 4)
+
+
+def test_blf_leaves_out_what_it_cannot_unpack_and_says_so(spark, tmp_path):
+    import struct
+
+    from tracewright.sources import blf
+    from tracewright.sources.recordings import read_recording
+
+    frame = lambda k: [(k * 0.1, 1, 0x100 + k, bytes([k] * 4))]
+    head = struct.pack("<4sI", b"LOGG", 144).ljust(144, b"\0")
+    path = tmp_path / "parts.blf"
+    path.write_bytes(head + blf_container(frame(1)) + blf_container(frame(2), method=5) + blf_container(frame(3), method=0) + blf_container(frame(4), damage=True) + blf_container(frame(5)))
+    got = read_recording(spark, str(path))
+    assert [(r["frame_idx"], r["arb_id"]) for r in got.frames.orderBy("frame_idx").collect()] == [(0, 0x101), (1, 0x103), (2, 0x105)]
+    told = [r["warning"] for r in got.warnings.collect()]
+    assert len(told) == 2 and "method 5" in told[0] and "inflated" in told[1]
+    empty = tmp_path / "empty.blf"
+    empty.write_bytes(head)
+    with pytest.raises(blf.BlfError):
+        read_recording(spark, str(empty))
+
+
+def test_headings_of_csv_tables():
+    import re
+
+    from tracewright.sources.csv_files import _is_time, bracketed, plain_heading
+
+    for text in ("EngSpeed [rpm]", "Speed(km/h)", "a [b] c (d)", "open [", "x ] y", "[only]", "", "mixed [a)", "((x)", " padded [u] "):
+        units = [m.group(1) for m in re.finditer(r"[\[(]([^\])]*)[\])]", text)]
+        assert bracketed(text) == (re.sub(r"[\[(][^\])]*[\])]", "", text), units), text
+    for text, wanted in (("Timestamps [s]", True), ("time", True), ("T", True), ("t[ms]", True), ("Time (s)", False), ("times", False), ("Timestamp [s", False), ("Time of day", False)):
+        assert _is_time(text) == wanted, text
+    assert plain_heading(" Timestamp-Epoch ") == "timestampepoch"
+
+
+def test_long_ranges_of_multiplexers_are_kept():
+    from tracewright.sources.databases import parse_dbc
+
+    text = 'BO_ 5 M: 8 X\n SG_ Mux M : 0|32@1+ (1,0) [0|0] "" X\n SG_ A m0 : 32|8@1+ (1,0) [0|0] "" X\n\nSG_MUL_VAL_ 5 A Mux 3-3, 10-4000000;\n'
+    signal = parse_dbc(text).messages[0].signal("A")
+    assert signal.mux_ids == [3] and signal.mux_ranges == [(10, 4_000_000)]
+
+
+def test_a_conversion_job_writes_what_its_reader_gives_back(spark, tmp_path):
+    from tracewright.plans.exports import ConvertJob, run_job
+    from tracewright.sources import blf
+    from tracewright.sources.recordings import read_recording
+
+    frames = [(0.0, 1, 0x100, b"\x01\x02"), (0.5, 2, 0x18FEF100, b"\x03"), (1.0, 1, 0x7FF, b"")]
+    source = str(tmp_path / "in.blf")
+    blf.write_simple(source, frames)
+    for suffix in (".asc", ".trc", ".csv"):
+        target = str(tmp_path / f"out{suffix}")
+        run_job(spark, ConvertJob((source,), target, start=0.0, end=0.7))
+        rows = read_recording(spark, target).frames.orderBy("frame_idx").collect()
+        assert [(round(r["t_s"], 6), r["channel"], r["arb_id"], r["is_extended"], bytes(r["payload"])) for r in rows] == [(0.0, 1, 0x100, False, b"\x01\x02"), (0.5, 2, 0x18FEF100, True, b"\x03")], suffix
+    with pytest.raises(ValueError, match="Unsupported"):
+        run_job(spark, ConvertJob((source,), str(tmp_path / "out.blf")))
