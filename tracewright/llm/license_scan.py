@@ -14,7 +14,7 @@ Passages that hold too few 2-grams of all templates can't be confirmed and aren'
 
 A document without any of the templates' anchor words is skipped. The words are chosen so that nothing is lost:
 the 2-grams without an anchor word are too few for confirmation, for every template. Defined results: null and
-empty texts have no licences; repeated rows repeat.
+empty texts have no licences; repeated rows repeat; a text of any length is scanned whole, as one row's array of words.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ method of moments over all groups. A document's posterior replaces the classifie
 path's posterior. Sums are partial before they are shuffled, so a hot host is one row per task.
 
 Defined results: a text without words is rejected (score 0); null hosts or paths form their own group;
-ties at the threshold are kept; an empty table gives an empty result; without labels all text is kept.
+ties at the threshold are kept; repeated rows are scored one by one and each counts in its site's sums; texts of any
+length are read whole; an empty table gives an empty result; without labels all text is kept.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ repeats, duplicate lines and symbols can only lower a score. They are flattened
 score whole Arrow batches. Statistics are computed once over all texts and kept in the shared folder.
 
 Defined results: null and empty texts have no words, so they fail the base rule; repeated rows give repeated
-results; without usable labels the trees are a constant (keep).
+results; a score at the threshold is kept; texts of any length are read whole; an empty table gives an empty result;
+without usable labels the trees are a constant (keep).
 """
 
 from __future__ import annotations
