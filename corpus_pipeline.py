@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all the stage before it kept; all but the last return the
 columns of documents, with the decisions carried out. `run` applies them to the documents table; between two
 stages the rows are written to the shared folder and read again.
+
+Defined results, of every stage: an empty table gives an empty table; columns besides doc_id and text pass through,
+whatever their names (n_chars is counted anew where texts change). Null and empty texts are rejected by the first
+stage, since they have no words; later stages keep them as they are. Rows with a null id are never dropped, since no
+verdict names them. Of rows that share an id, one stage's verdict on the id counts for all, but for near duplicates,
+which are told apart by their texts: one row of equal ones stays.
 """
 
 from __future__ import annotations
