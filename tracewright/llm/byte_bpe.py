@@ -35,6 +35,7 @@ from .textstats import span_hashes
 HEAD, HEAD_BYTES = 262_144, 40
 BLOCK_BYTES = 8 << 20
 LONG, PART = 256, 1024
+PLAN_TEXT = 65_536
 
 #: A token's integer: rank (ID bits), place (PLACE bits), id (ID bits), from the highest bit down.
 ID, PLACE = 18, 27
@@ -354,6 +355,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     result = result or Ids()
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pairs = PairTable(ranks)
+    # the rank map is part of the plan; the driver need not keep its text for every query it has run
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+        conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     # a block is one row, so that it is never split; row groups may close after any of them
     blocks, _ = materialize(word_blocks(texts, pattern, block_bytes), "blocks", **{"compression": "zstd", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
     words = frequent_words(blocks, head)
