@@ -89,10 +89,10 @@ def decode(frames: DataFrame, messages: DataFrame, signals: DataFrame, config: D
     s = signals.select("db_id", "ord", "signal", "place", "first", F.col("length").alias("len"), "big", "signed", "is_float", "scale", "offset", "unit", "needed", "branches", "choices")
     rows = prepared.join(F.broadcast(s), (F.col("_db") == F.col("db_id")) & (F.col("_ord") == F.col("ord")))
     inside = bits.field_sql("_le", "_be", "b.first", "b.length", "b.big", "b.signed")
-    rows = rows.where(F.expr(f"_size >= needed and forall(branches, b -> _size >= b.needed and (array_contains(b.ids, {inside}) or exists(b.ranges, r -> {inside} between r.low and r.high)))"))
+    rows = rows.where(F.expr(f"_size >= needed and (size(branches) = 0 or forall(branches, b -> _size >= b.needed and (array_contains(b.ids, {inside}) or exists(b.ranges, r -> {inside} between r.low and r.high))))"))
     rows = rows.withColumn("raw", F.expr(bits.field_sql("_le", "_be", "first", "len", "big", "signed")))
     value = raw_to_physical(F.col("raw"), F.col("len"), F.col("signed"), F.col("is_float"), F.col("scale"), F.col("offset"))
-    label = F.when(~F.col("is_float"), F.get(F.filter(F.map_entries("choices"), lambda e: e["key"] == F.col("raw")), 0)["value"])
+    label = F.when(~F.col("is_float") & (F.size("choices") > 0), F.try_element_at("choices", F.col("raw")))
     out = rows.select(
         signal_key(F.col("bus"), F.col("channel"), F.col("message"), F.col("signal")).alias("signal_key"), "bus", "channel", "message", F.col("arb_id").alias("message_id"), "signal", "unit",
         (F.col("frame_idx")).alias("seq"), "t_s", value.alias("value"), label.alias("label"), "raw",

@@ -51,6 +51,20 @@ def frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def generated_frames(spark: SparkSession, n: int) -> DataFrame:
+    """n frames of the database's messages with arbitrary bytes, for timing at size; nothing is read."""
+    no = F.lit(False)
+    return spark.range(n).select(
+        F.col("id").alias("frame_idx"), (F.col("id") * F.lit(1e-4)).alias("t_s"), F.lit("CAN").alias("bus"), F.lit(1).alias("channel"), (256 + F.col("id") % 12).alias("arb_id"), no.alias("is_extended"), no.alias("is_fd"),
+        no.alias("is_error"), no.alias("is_remote"), no.alias("is_brs"), F.lit(8).alias("dlc"), F.lit("Rx").alias("direction"), F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("payload"),
+    )
+
+
+def decode_generated(spark: SparkSession, n: int) -> DataFrame:
+    messages, signals, _, config = tables_of(spark)
+    return decode.decode(generated_frames(spark, n), messages, signals, config, words=1)
+
+
 def database() -> Database:
     def message(k: int) -> Message:
         return Message(256 + k, f"Msg{k}", 8, False, [
