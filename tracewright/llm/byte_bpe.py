@@ -357,7 +357,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     pairs = PairTable(ranks)
     # the rank map is part of the plan; the driver need not keep its text for every query it has run
     conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+    asked = re.fullmatch(r"(\d+)b?", conf.get("spark.sql.maxPlanStringLength"))
+    if asked and int(asked[1]) > PLAN_TEXT:
         conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     # a block is one row, so that it is never split; row groups may close after any of them
     blocks, _ = materialize(word_blocks(texts, pattern, block_bytes), "blocks", **{"compression": "zstd", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
