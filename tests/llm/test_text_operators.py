@@ -258,6 +258,20 @@ def quality_data(spark, n=240):
     return texts, good, spark.createDataFrame([(k, g, 0) for k, g in enumerate(good)], "doc_id long, quality int, toxic int")
 
 
+def test_logistic_fit_is_at_its_minimum_where_classes_lie_apart():
+    rng = np.random.default_rng(2)
+    y = (rng.random(2000) < 0.86).astype(float)
+    x, kind = rng.lognormal(0, 0.3, size=(2000, 6)), rng.integers(0, 6, 2000)
+    for j in range(2, 6):
+        x[:, j] = np.where((y == 0) & (kind % 4 + 2 == j), x[:, j] * (1 + 3 * rng.random(2000)) + 0.5, 0.1 * x[:, j])
+    x = np.concatenate([x, x**2], axis=1)
+    centre, scale, weights, bias = boosting.fit_logistic(x, y)
+    z = np.clip((x - centre) / scale, -8, 8)
+    rest = y - boosting.sigmoid(z @ weights + bias)
+    assert np.abs(z.T @ rest - weights).max() < 1e-4 and abs(rest.sum() - 1e-3 * bias) < 1e-4
+    assert ((z @ weights + bias > 0) == y).mean() > 0.99  # 0.95 after steps that swing
+
+
 def test_quality_operators(spark):
     texts, good, labels = quality_data(spark)
     table = extra(docs(spark, [*texts, *ODD]))

@@ -103,8 +103,11 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, tr
     return forest
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30):
-    """(centre, scale, weights, bias) of a ridge logistic regression by Newton steps on standardised columns."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100):
+    """(centre, scale, weights, bias) of a ridge logistic regression by Newton steps on standardised columns.
+
+    A step is halved until it lowers the loss: where the classes lie apart, whole steps go past the minimum and swing.
+    """
     centre, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((x - centre) / scale, -8, 8)
@@ -114,10 +117,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     w[-1] = np.log(rate / (1 - rate))
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
+
+    def loss(w):
+        return np.logaddexp(0, z @ w).sum() - y @ (z @ w) + penalty @ w**2 / 2
+
+    now = loss(w)
     for _ in range(rounds if len(y) > 1 and y.min() != y.max() else 0):
         p = sigmoid(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        rise = z.T @ (y - p) - penalty * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), rise)
+        part = 1.0
+        while part > 1e-9 and not (then := loss(w + part * step)) <= now - 1e-4 * part * (rise @ step):
+            part /= 2
+        if part <= 1e-9:  # as low as floating point tells
+            break
+        w, now = w + part * step, then
+        if np.abs(part * step).max() < 1e-6:
             break
     return centre, scale, w[:-1], float(w[-1])
