@@ -214,6 +214,23 @@ def test_byte_bpe_against_the_library(spark):
     assert byte_bpe.encode(docs(spark, texts).limit(0), ranks, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_holds_a_few_words_at_a_time(spark):
+    import pyarrow as pa
+
+    found = [b"x" * n for n in (3, 0, 70, 1, 1, 40, 200, 5)]
+    runs = byte_bpe.word_runs(pa.array(found, pa.binary()), 64)
+    assert [w for r in runs for w in r.to_pylist()] == found and all(sum(len(w) + 2 for w in r.to_pylist()) <= 64 + 202 for r in runs) and len(runs) >= 3
+    assert [len(r) for r in byte_bpe.word_runs(pa.array([], pa.binary()))] == [0]
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    texts = ODD + [" ".join(words(rng, 60, 12)) for _ in range(30)]
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs(spark, texts), ranks, P.PATTERN, block_bytes=1500, row_tokens=64).collect()}
+    assert {k: np.frombuffer(bytes(v), "<u4").tolist() for k, v in got.items()} == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= byte_bpe.BATCH_BYTES
+
+
 def brute_statistics(text):
     import re
 

@@ -6,10 +6,12 @@
    workers as a broadcast of bounded size, sorted by hash. All other words are folded once in their block.
 3. A document's results are put together from those of its words.
 
-The fold goes over the word's byte array with the rank map as a literal of the plan. The state is an array of one
+The fold goes over the word's bytes with the rank map as a literal of the plan. The state is an array of one
 integer a token: the rank of its merge with the next token, its place and its id, so the smallest one is the
-leftmost lowest-ranked merge. The rank map is a perfect hash of the mergeable pairs of ids. Arrays are joined by
+leftmost lowest-ranked merge. It starts as one token a byte, laid out with the ranks of neighbouring bytes; every merge
+is the fold's. The rank map is a perfect hash of the mergeable pairs of ids. Arrays are joined by
 flatten, as concat is slow where expressions are interpreted. Words of more than LONG bytes keep their state in blocks, so that a merge touches a few blocks only.
+A block's words go to the fold in rows of ROW_TOKENS bytes, so that no task holds the states of a whole block.
 
 Defined results: null and empty texts have no ids; decoding gives back the text's UTF-8 bytes; repeated
 rows are encoded one by one; words of any length are folded whole.
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import materialize, need
 from .textstats import span_hashes
 
-HEAD, HEAD_BYTES = 262_144, 40
+HEAD, HEAD_BYTES = 393_216, 40
 BLOCK_BYTES = 8 << 20
 LONG, PART = 256, 1024
+ROW_TOKENS = 32_768
 PLAN_TEXT = 65_536
+BATCH_BYTES = 8 << 20
 
 #: A token's integer: rank (ID bits), place (PLACE bits), id (ID bits), from the highest bit down.
 ID, PLACE = 18, 27
@@ -79,7 +83,11 @@ class PairTable:
         if max(ranks.values()) >= NONE - 1:
             raise ValueError(f"ids must be below {NONE - 1}")
         self.edge = max(ranks.values()) + 1
-        self.first = [*(ranks[bytes([k])] for k in range(256)), self.edge]  # by byte; EDGE is none
+        self.first = np.array([*(ranks[bytes([k])] for k in range(256)), self.edge], dtype=np.int64)  # by byte; EDGE is none
+        self.next = np.full((EDGE + 1) ** 2, NONE, dtype=np.int32)  # rank by two bytes
+        for piece, rank in ranks.items():
+            if len(piece) == 2:
+                self.next[piece[0] * (EDGE + 1) + piece[1]] = rank
         found = [(a, b, rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
         left, right, merged = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 3
         self.size = 1 << max(4, int(1.25 * len(found)).bit_length())  # as small as is quickly found: the table is part of plans
@@ -134,20 +142,20 @@ def _let(value: Column, kind: str, body) -> Column:
 
 
 def encode_words(words: Column, table: PairTable) -> Column:
-    """array<array<int>> ids of an array of words, each an array of byte values between two EDGEs (see byte_arrays).
+    """array<array<bigint>> last states (see final_ids) of an array of words, each in its first state (see first_states).
 
     The rank map is bound once, as variables of outer lambdas, so the plan and each task hold one copy.
     """
-    kind = "array<array<int>>"
+    kind = "array<array<bigint>>"
 
-    def bound(byte_ids, shifts, slots):
-        return F.transform(words, lambda w: _encode_word(w, table.edge, byte_ids, lambda a, b: table.rank(a, b, shifts, slots)))
+    def bound(shifts, slots):
+        return F.transform(words, lambda w: _encode_word(w, lambda a, b: table.rank(a, b, shifts, slots)))
 
-    return _let(_literal(table.first), kind, lambda x: _let(_literal(table.shift), kind, lambda y: _let(_literal(table.slots), kind, lambda z: bound(x, y, z))))
+    return _let(_literal(table.shift), kind, lambda y: _let(_literal(table.slots), kind, lambda z: bound(y, z)))
 
 
-def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
-    """array<int> ids of a word between its edges: the lowest-ranked pair is merged, leftmost first, until none is left."""
+def _encode_word(word: Column, rank) -> Column:
+    """The state of a word between its edges in which the lowest-ranked pair was merged, leftmost first, until none is left."""
     state, parts = "array<bigint>", "array<struct<m:bigint,e:array<bigint>>>"
     least = _long(NONE << TOP)
     id_of = lambda e: e.bitwiseAND(_long(NONE))
@@ -156,7 +164,8 @@ def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
     def joined(m, after):
         """The token that the merge m makes, before the token `after`."""
         new = F.shiftright(m, TOP)
-        return ranked(m.bitwiseAND(_long(((1 << TOP) - 1) ^ NONE)).bitwiseOR(new), rank(new, id_of(after)))
+        placed = m.bitwiseAND(_long(((1 << TOP) - 1) ^ NONE)).bitwiseOR(new)
+        return F.shiftleft(rank(new, id_of(after)), TOP).bitwiseOR(placed)
 
     def merged(a, m, i):
         """The token before the merge m at i, with its new rank, and the token that it makes."""
@@ -195,16 +204,10 @@ def _encode_word(word: Column, edge: int, byte_ids: Column, rank) -> Column:
 
         return _let(F.array_min(F.transform(bs, lambda b: b["m"])), parts, merge)
 
-    def start(v):
-        following = lambda i: F.coalesce(F.get(v, i + 1), _long(edge))
-        return F.transform(v, lambda x, i: F.shiftleft(rank(x, following(i)), TOP).bitwiseOR(F.shiftleft(i.cast("bigint"), ID)).bitwiseOR(x))
-
     size = F.size(word) - 2
-    tokens = _let(F.transform(word, lambda b: byte_ids[b]), state, start)
-    ids = lambda a: F.transform(F.slice(a, 2, F.size(a) - 2), lambda e: id_of(e).cast("int"))
     steps = F.slice(word, 1, F.greatest(size - 1, F.lit(0)))
-    folded = F.aggregate(steps, tokens, step, ids)
-    in_parts = F.aggregate(steps, _let(tokens, parts, cut), long_step, lambda bs: ids(F.flatten(F.transform(bs, lambda b: b["e"]))))
+    folded = F.aggregate(steps, word, step)
+    in_parts = F.aggregate(steps, _let(word, parts, cut), long_step, lambda bs: F.flatten(F.transform(bs, lambda b: b["e"])))
     return F.when(size > LONG, in_parts).otherwise(folded)
 
 
@@ -273,7 +276,7 @@ def _sorted_words(words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> tuple[
     ends = np.cumsum(n)
     shift = ((np.cumsum(sizes) - sizes)[order] - (ends - n)).astype(np.int32)  # ids of the sorted words, from where they stood
     flat = ids[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)]
-    return h1[order], h2[order], ends.astype(np.int64), flat.astype("<u4")
+    return h1[order], h2[order], ends.astype(np.int32), flat.astype("<u4")
 
 
 def _hashes(data: np.ndarray, sizes: np.ndarray, rows: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +290,7 @@ def _hashes(data: np.ndarray, sizes: np.ndarray, rows: int = 65_536) -> tuple[np
     return out[0], out[1]
 
 
-#: The table of the last broadcast used, kept while a worker serves other functions in between.
+#: The last broadcast used, kept while a worker serves other functions in between.
 _KEPT: dict[str, tuple] = {}
 
 
@@ -298,12 +301,32 @@ def _known(sent, key: str):
     return _KEPT[key]
 
 
-def byte_arrays(words: pa.Array) -> pa.Array:
-    """Binary words as lists of byte values between two EDGEs."""
+def word_runs(words: pa.Array, tokens: int = ROW_TOKENS) -> list[pa.Array]:
+    """words in order, cut into runs of about `tokens` bytes and edges, one at least; a run goes beyond them by a word at most."""
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(_word_buffers(words)[1] + 2) // tokens)) + 1).tolist(), len(words)]
+    return [words.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def first_states(words: pa.Array, first: np.ndarray, following: np.ndarray) -> pa.ListArray:
+    """States of binary words between two edges: one token a byte (PairTable.first and .next)."""
     data, sizes = _word_buffers(words)
-    flat = np.full(len(data) + 2 * len(sizes), EDGE, dtype=np.int16)
+    flat = np.full(len(data) + 2 * len(sizes) + 1, EDGE, dtype=np.int64)
     flat[np.arange(len(data)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)] = data
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes + 2)]).astype(np.int32)), pa.array(flat))
+    ends = np.concatenate([[0], np.cumsum(sizes + 2)])
+    rank = following[flat[:-1] * (EDGE + 1) + flat[1:]].astype(np.int64)
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes + 2)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rank << TOP | place << ID | first[flat[:-1]]))
+
+
+def final_ids(states: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and their counts, without the edges."""
+    if not len(states):
+        return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+    sizes = np.asarray(states.value_lengths(), dtype=np.int64)
+    flat = (np.asarray(states.flatten()) & NONE).astype("<u4")
+    inner, ends = np.ones(len(flat), dtype=bool), np.cumsum(sizes)
+    inner[ends - 1] = inner[ends - sizes] = False
+    return flat[inner], sizes - 2
 
 
 def _word_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +373,7 @@ class Digests:
         return sum(map(self.counts.__getitem__, codes)), sha(b",".join(map(self.decimal.__getitem__, codes))), sha(b"".join(map(self.decoded.__getitem__, codes)))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None, block_bytes: int = BLOCK_BYTES, rows_out: int = 512) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = HEAD, result=None, block_bytes: int = BLOCK_BYTES, rows_out: int = 512, row_tokens: int = ROW_TOKENS) -> DataFrame:
     """doc_id and the columns of `result` (Ids() if None, or Digests(ranks)) of every text."""
     result = result or Ids()
     texts = need(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -360,19 +383,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
     asked = re.fullmatch(r"(\d+)b?", conf.get("spark.sql.maxPlanStringLength"))
     if asked and int(asked[1]) > PLAN_TEXT:
         conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # else all blocks of a task travel at once
     # a block is one row, so that it is never split; row groups may close after any of them
     blocks, _ = materialize(word_blocks(texts, pattern, block_bytes), "blocks", **{"compression": "zstd", "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
     words = frequent_words(blocks, head)
     whole = docs.sparkSession.createDataFrame(pa.table({"piece": pa.array(ranks, pa.binary())}))
     words = words.join(F.broadcast(whole), F.col("word") == F.col("piece"), "left_anti")  # pieces are their own ids
 
+    first, following = pairs.first, pairs.next
+
     def spell(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), byte_arrays(batch.column(0))], names=["word", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), first_states(batch.column(0), first, following)], names=["word", "state"])
+
+    spelled = words.mapInArrow(spell, "word binary, state array<bigint>")
+    folded, _ = materialize(spelled.select("word", encode_words(F.array("state"), pairs)[0].alias("state")), "head")
 
-    spelled = words.mapInArrow(spell, "word binary, bytes array<smallint>")
-    folded, _ = materialize(spelled.select("word", encode_words(F.array("bytes"), pairs)[0].alias("ids")), "head")
-    found = folded.toArrow()  # at most `head` words of HEAD_BYTES and as many ids
+    def spelt(batches):
+        for batch in batches:
+            flat, sizes = final_ids(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.view("<i4")))], names=["word", "ids"])
+
+    found = folded.mapInArrow(spelt, "word binary, ids array<int>").toArrow()  # at most `head` words of HEAD_BYTES and as many ids
     ids = found.column("ids").combine_chunks()
     sizes = np.asarray(ids.value_lengths(), dtype=np.int64) if len(found) else np.empty(0, dtype=np.int64)
     flat = np.asarray(ids.flatten(), dtype="<u4") if len(found) else np.empty(0, dtype="<u4")
@@ -380,10 +413,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
         pa.concat_arrays([pa.array(ranks, pa.binary()), found.column("word").combine_chunks().cast(pa.binary())]), np.concatenate([np.array(list(ranks.values()), dtype="<u4"), flat]), np.concatenate([np.ones(len(ranks), dtype=np.int64), sizes])
     )
     del found, ids, sizes, flat
-    sent, key = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
+    # what finds the words and what they become travel apart, as no worker needs both at once
+    sent_hashes, sent_ids = (docs.sparkSession.sparkContext.broadcast(x) for x in (table[:2], table[2:]))
+    hashes_key, ids_key = uuid.uuid4().hex, uuid.uuid4().hex
+    del table
+
+    looked_at = [pa.field("doc_ids", pa.list_(pa.int64())), pa.field("sizes", pa.list_(pa.int32())), pa.field("codes", pa.binary()), pa.field("place", pa.binary())]
 
     def look_up(batches):
-        h1, h2, ends, flat = _known(sent, key)
+        h1, h2 = _known(sent_hashes, hashes_key)
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(3)[k].values
@@ -391,22 +429,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 at = np.minimum(np.searchsorted(h1, a), len(h1) - 1)
                 there = (h1[at] == a) & (h2[at] == b)
                 place = np.where(there, at, -1).astype("<i8")
-                absent = byte_arrays(words.filter(pa.array(~there)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(k, 1) for c in batch.columns[:3]), pa.array([place.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(absent)], pa.int32()), absent)], names=["doc_ids", "sizes", "codes", "place", "absent"]
-                )
+                runs = word_runs(words.filter(pa.array(~there)), row_tokens)
+                for n, run in enumerate(runs, 1):  # the block itself comes with the last of its words
+                    states = first_states(run, first, following)
+                    own = [c.slice(k, 1) for c in batch.columns[:3]] + [pa.array([place.tobytes()], pa.binary())] if n == len(runs) else [pa.nulls(1, f.type) for f in looked_at]
+                    yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array([0, len(states)], pa.int32()), states)], names=[*(f.name for f in looked_at), "absent"])
 
     names = ["doc_id", *[f[0] for f in result.fields]]
     kinds = [pa.int64(), *[f[2] for f in result.fields]]
 
     def fill(batches):
-        _, _, ends, flat = _known(sent, key)
+        ends, flat = _known(sent_ids, ids_key)
+        parts = []
         for batch in batches:
             for k in range(batch.num_rows):
+                parts.append(final_ids(batch.column(4)[k].values))
+                if not batch.column(3)[k].is_valid:
+                    continue
                 place = np.frombuffer(batch.column(3)[k].as_py(), dtype="<i8")
-                inner = batch.column(4)[k].values
-                sizes = np.asarray(inner.value_lengths(), dtype=np.int64) if len(inner) else np.empty(0, dtype=np.int64)
-                own = np.asarray(inner.flatten(), dtype="<u4") if len(inner) else np.empty(0, dtype="<u4")
+                own, sizes = map(np.concatenate, zip(*parts, strict=True))
+                parts = []
                 there = place >= 0
                 n, start = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
                 n[there] = ends[place[there]] - np.where(place[there] > 0, ends[place[there] - 1], 0)
@@ -427,7 +469,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, head: int = H
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    looked = blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<int>, codes binary, place binary, absent array<array<smallint>>")
+    looked = blocks.mapInArrow(look_up, "doc_ids array<long>, sizes array<int>, codes binary, place binary, absent array<array<bigint>>")
     done = looked.select("doc_ids", "sizes", "codes", "place", encode_words(F.col("absent"), pairs).alias("folded"))
     return done.mapInArrow(fill, "doc_id long, " + ", ".join(f"{n} {t}" for n, t, _ in result.fields))
 
