@@ -231,6 +231,26 @@ def test_byte_bpe_holds_a_few_words_at_a_time(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= byte_bpe.BATCH_BYTES
 
 
+def test_byte_bpe_folds_a_block_in_several_rows(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rng = random.Random(10)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(12_000))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = byte_bpe.encode(docs(spark, [text]), byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+        assert len(out.collect()) == 1
+        rows, plans = [], [out._jdf.queryExecution().executedPlan()]
+        while plans:
+            plan = plans.pop()
+            if plan.nodeName() == "MapInArrow":
+                rows.append(plan.metrics().apply("pythonNumRowsReceived").value())
+            plans += [plan.children().apply(k) for k in range(plan.children().size())]
+        assert sorted(rows)[0] == 1 and sorted(rows)[-1] >= 4, rows  # the document; the words of its only block
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def brute_statistics(text):
     import re
 
